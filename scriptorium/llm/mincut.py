@@ -20,6 +20,7 @@ from __future__ import annotations
 import re
 from collections import deque
 from html import unescape
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 PIECE = 4 << 20
+#: Enclosing blocks, from the inside, that nearness in the tree looks at.
+NEAR = 16
 
 _TOKEN = re.compile(r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 _ATTR = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -126,8 +129,8 @@ def blocks_of(html: str) -> list[Block]:
             joined = _SPACE.sub(" ", unescape("".join(text))).strip()
             if joined:
                 top = stack[-1]
-                box = next((e[0] for e in reversed(stack) if e[0] in _BLOCK), "")
-                blocks.append(Block(joined, min(1.0, linked / len(joined)), [e[1] for e in stack if e[0] in _BLOCK or e[0] == "#root"], box, top[2], top[3]))
+                boxes = list(islice((e for e in reversed(stack) if e[0] in _BLOCK or e[0] == "#root"), NEAR))
+                blocks.append(Block(joined, min(1.0, linked / len(joined)), [e[1] for e in boxes], boxes[0][0], top[2], top[3]))
             text.clear()
         linked = 0
 
@@ -228,12 +231,10 @@ def edges(blocks: list[Block]) -> list[tuple[int, int, float]]:
     for j, block in enumerate(blocks):
         if j:
             a, b = blocks[j - 1].path, block.path
-            shared = 0
-            while shared < len(a) and shared < len(b) and a[shared] == b[shared]:
-                shared += 1
-            steps = len(a) + len(b) - 2 * shared
+            place = {x: k for k, x in enumerate(a)}
+            steps = next((k + place[x] for k, x in enumerate(b) if x in place), 2 * NEAR)
             join(j - 1, j, 1.2 / (1 + steps))
-        box = block.path[-2] if len(block.path) > 1 else block.path[-1]
+        box = block.path[1] if len(block.path) > 1 else block.path[0]
         if box in last_in and box:
             join(last_in[box], j, 0.5)
         last_in[box] = j
