@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import counting, digest, exact, language, mincut, mixing, replay, warc
+from . import counting, digest, exact, language, mincut, mixing, neardup, replay, warc
 
 QUERIES = {
     "op2_exact_dedup": exact.query,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_html_extraction": mincut.query,
     "op5_source_mixing": mixing.query,
     "op6_fingerprints": digest.query,
+    "op7_near_dedup": neardup.query,
     "op8_byte_bpe": replay.query,
     "op9_token_counts": counting.query,
     "op10_warc_bundles": warc.query,
