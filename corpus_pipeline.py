@@ -1,4 +1,65 @@
-STAGES = []
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
+and read again as the next stage's docs. All but the last return the columns of documents.
+SQL cannot express language identification, near-duplicate search and encoding, so the
+whole has no SQL; the tests hold it against its stages' brute-force versions.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scriptorium.llm import common, exact, language, mixing, neardup, replay
+
+#: Share of a document that its main language has at least.
+MAIN_LANGUAGE = 0.5
+
+
+def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language that makes up half of them or more; ``lang`` says which.
+
+    Texts that are null, empty or without letters have none and go.
+    """
+    found = language.identify(docs, language.fit(docs))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE))
+    return kept.withColumn("lang", F.col("lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of those equal up to white space."""
+    return exact.exact_dedup(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the smallest doc_id, of each class of near-duplicates."""
+    return neardup.dedup(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.mixed_rows(docs)
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in place of text."""
+    return replay.encode_rows(docs)
+
+
+STAGES = [
+    ("language", language_stage),
+    ("exact", exact_stage),
+    ("near", near_stage),
+    ("mixing", mixing_stage),
+    ("encoding", encoding_stage),
+]
+
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -103,6 +103,23 @@ def _mixed(slim: DataFrame, n: int, weights, most: int, seed: str) -> DataFrame:
     return joined.select("c.doc_id", "c.source", "c.size", "source_size", "target", F.least(copies, F.lit(most)).cast("long").alias("copies"))
 
 
+def mixed_rows(df: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") -> DataFrame:
+    """The rows of ``df`` (all its columns), each as often as the mix takes it.
+
+    Rows alike in doc_id, source and size share what they are taken together.
+    """
+    same = ["doc_id", "source", "_sc_words"]
+    taken = mix(df, weights, most, seed).withColumnRenamed("size", "_sc_words").groupBy(*same).agg(F.sum("copies").alias("_sc_copies"), F.count("*").alias("_sc_alike"))
+    rows = df.withColumn("_sc_words", words(F.col("text"))).alias("d")
+    on = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in same]
+    joined = rows.join(taken.where("_sc_copies > 0").alias("t"), on[0] & on[1] & on[2]).select("d.*", "_sc_copies", "_sc_alike")
+    k = F.row_number().over(W.partitionBy(*same).orderBy("doc_id"))
+    numbered = joined.withColumn("_sc_k", k)
+    share = F.floor(F.col("_sc_copies") * F.col("_sc_k") / F.col("_sc_alike")) - F.floor(F.col("_sc_copies") * (F.col("_sc_k") - 1) / F.col("_sc_alike"))
+    often = numbered.withColumn("_sc_often", share.cast("int")).where("_sc_often > 0")
+    return often.withColumn("_sc_copy", F.explode(F.sequence(F.lit(1), F.col("_sc_often")))).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def query(spark, sf_dir):
     mixed = mix(common.documents(spark, sf_dir))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

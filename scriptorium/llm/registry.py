@@ -1,8 +1,9 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import counting, digest, exact, language, mincut, mixing, neardup, replay, warc
+from . import counting, digest, exact, language, mincut, mixing, neardup, replay, suffix, warc
 
 QUERIES = {
+    "op1_suffix_dedup": suffix.query,
     "op2_exact_dedup": exact.query,
     "op3_language_id": language.query,
     "op4_html_extraction": mincut.query,

@@ -328,5 +328,29 @@ def encode_texts(df: DataFrame, path: str | None = None, pattern: str | None = N
     return base.mapInArrow(run, schema)
 
 
+def encode_rows(df: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """All columns of ``df`` but text, with n_tokens, ids (decimal, joined by one space) and
+    round_trip (whether the ids decode to the text)."""
+    path, pattern = path or defaults()[0], pattern or defaults()[1]
+    base = df.drop("ids", "n_tokens", "round_trip")
+    schema = T.StructType([*[f for f in base.schema.fields if f.name != "text"], *T._parse_datatype_string("n_tokens long, ids string, round_trip boolean").fields])
+    arrow = common.arrow_schema(schema)
+
+    def run(batches):
+        vocab = vocabulary(path, pattern)
+        for whole in batches:
+            for batch in common.pieces(whole, "text", PIECE):
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                ids = vocab.encode_decimal(texts)
+                columns = {
+                    "n_tokens": pa.array([s.count(" ") + 1 if s else 0 for s in ids], pa.int64()),
+                    "ids": pa.array(ids, pa.string()),
+                    "round_trip": pa.array([vocab.decode_decimal(s) == t.encode() for s, t in zip(ids, texts)], pa.bool_()),
+                }
+                yield common.carried(batch, arrow, columns)
+
+    return base.mapInArrow(run, schema)
+
+
 def query(spark, sf_dir):
     return encode_digests(common.documents(spark, sf_dir))
