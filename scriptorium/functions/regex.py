@@ -53,3 +53,9 @@ def matches(text: Column, pattern: str) -> Column:
 
 def alternatives(*words: str) -> str:
     return "(?:" + "|".join(words) + ")"
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where ``body`` has lambdas that
+    refer to it (an outer expression inside a lambda is computed again for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .profiles import Profile
-from .regex import B, S, trimmed
+from .regex import B, S, let, trimmed
 
 
 def words(text: Column, profile: Profile) -> Column:
@@ -61,7 +61,7 @@ def grams(tokens: Column, size: int) -> Column:
 def shingles(text: Column, size: int = 4) -> Column:
     """Distinct runs of ``size`` words of letters, joined by a space."""
     tokens = F.regexp_extract_all(F.lower(text), F.lit(r"\p{L}+"), F.lit(0))
-    return F.array_distinct(F.transform(grams(tokens, size), lambda g: F.array_join(g, " ")))
+    return let(tokens, lambda t: F.array_distinct(F.transform(grams(t, size), lambda g: F.array_join(g, " "))))
 
 
 def bounded(pattern: str) -> str:

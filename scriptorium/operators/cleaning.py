@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.parsing import undecoded
 from ..functions.profiles import FUNCTION_WORDS
-from ..functions.regex import B, S, matches, trimmed
+from ..functions.regex import B, S, let, matches, trimmed
 from ..functions.text import filled, lines, word_count
 
 ATTRIBUTION = rf"(?iu)\A{S}*(?:on|le){B}[\s\S]{{0,300}}?(?:wrote|a écrit|a ecrit){S}*:{S}*\z"
@@ -33,17 +33,16 @@ def _like(x: Column, pattern: str) -> Column:
     return F.regexp_like(x, F.lit(pattern))
 
 
-def _numbered(parts: Column) -> Column:
-    return F.transform(parts, lambda x, i: F.struct(x.alias("x"), i.alias("i")))
-
-
 def strip_quoted(text: Column) -> Column:
     """STRUCT<text, quoted, forwarded>: the writer's own lines.
 
     All from an attribution (over one to three lines), a separator, a forward mark or two
     header lines in a row goes; quoted lines before it go one by one.
     """
-    parts = lines(text)
+    return let(lines(text), _own_lines)
+
+
+def _own_lines(parts: Column) -> Column:
     n = F.size(parts)
 
     def at(i: Column) -> Column:
@@ -57,7 +56,10 @@ def strip_quoted(text: Column) -> Column:
         block = _like(x, HEADER) & _like(at(i + 1), HEADER)
         return F.when(_like(x, FORWARD), 2).when(attribution | _like(x, SEPARATOR) | block, 1).otherwise(0)
 
-    marks = F.transform(parts, stops)
+    return let(F.transform(parts, stops), lambda marks: _kept_lines(parts, marks, n))
+
+
+def _kept_lines(parts: Column, marks: Column, n: Column) -> Column:
     first = F.coalesce(F.try_element_at(F.filter(F.transform(marks, lambda m, i: F.when(m > 0, i)), lambda i: i.isNotNull()), F.lit(1)), n)
     own = F.slice(parts, F.lit(1), first)
     forwarded = F.coalesce(F.get(marks, first), F.lit(0)) == 2
@@ -68,10 +70,17 @@ def strip_quoted(text: Column) -> Column:
 def split_signature(text: Column) -> Column:
     """STRUCT<body, signoff, signature>: the last sign-off among the last twelve lines, what
     continues its formula, and what stands under it or under a delimiter of two dashes."""
-    parts = lines(text)
+    return let(lines(text), _parted)
+
+
+def _parted(parts: Column) -> Column:
     dashes = F.array_position(F.transform(parts, lambda x: _like(x, rf"\A--{S}*\z")), F.lit(True)).cast("int")
     upper = F.when(dashes > 0, F.slice(parts, F.lit(1), F.greatest(dashes - 1, F.lit(0)))).otherwise(parts)
     under = F.when(dashes > 0, F.slice(parts, F.greatest(dashes + 1, F.lit(1)), F.size(parts))).otherwise(F.array().cast("array<string>"))
+    return let(F.struct(upper.alias("upper"), under.alias("under")), lambda p: _closed(p["upper"], p["under"]))
+
+
+def _closed(upper: Column, under: Column) -> Column:
     n = F.size(upper)
     places = F.filter(F.transform(upper, lambda x, i: F.when((i >= n - 12) & _like(x, SIGNOFF), i + 1)), lambda i: i.isNotNull())
     at = F.coalesce(F.try_element_at(places, F.lit(-1)), F.lit(0)).cast("int")

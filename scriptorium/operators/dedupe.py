@@ -32,9 +32,9 @@ def similar_letters(df: DataFrame, text: str, order: str, least: float = SAME_LE
     are looked up in the inverted index, so a run that most letters have is in few of them.
     """
     runs = df.select(F.col(order).alias("id"), shingles(F.col(text)).alias("runs")).where(F.size("runs") > 0)
-    flat = runs.select("id", F.size("runs").alias("n"), F.explode("runs").alias("run")).select("id", "n", F.xxhash64("run").alias("run"))
+    flat = _written(runs.select("id", F.size("runs").alias("n"), F.explode("runs").alias("run")).select("id", "n", F.xxhash64("run").alias("run")))
     often = flat.groupBy("run").agg(F.count("*").alias("df")).where("df > 1")
-    shared = flat.join(often, "run")
+    shared = _written(flat.join(often, "run"))
     rare = F.row_number().over(W.partitionBy("id").orderBy("df", "run"))
     unique = F.col("n") - F.count("*").over(W.partitionBy("id"))
     prefix = shared.withColumn("k", rare).withColumn("unique", unique).where(F.col("k") + F.col("unique") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import masking, typography
 from ..functions.profiles import Profile, Tic
-from ..functions.regex import B, S, absent, count_of, matches, rate, rounded, share, trimmed
+from ..functions.regex import B, S, absent, count_of, let, matches, rate, rounded, share, trimmed
 from ..functions.text import bounded, display, filled, grams, lines, paragraphs, sentences, words
 
 SALUTATION_WORDS, SALUTATION_LINES, SIGNOFF_WORDS, SIGNOFF_WINDOW = 8, 3, 10, 30
@@ -53,8 +53,7 @@ def salutation_of(text: Column, supplied: Column | None, profile: Profile) -> Co
     greets among three that are no header lines, none before it being long."""
     look = F.slice(F.filter(filled(lines(text)), lambda x: ~header_line(x, profile)), 1, SALUTATION_LINES)
     ends = F.filter(look, lambda x: greets(x, profile) | (F.size(words(x, profile)) > SALUTATION_WORDS))
-    first = F.try_element_at(ends, F.lit(1))
-    found = F.when(greets(first, profile), first)
+    found = let(F.try_element_at(ends, F.lit(1)), lambda first: F.when(greets(first, profile), first))
     if supplied is None:
         return found
     given = absent(supplied)
@@ -63,9 +62,8 @@ def salutation_of(text: Column, supplied: Column | None, profile: Profile) -> Co
 
 def signoff_of(text: Column, supplied: Column | None, profile: Profile) -> Column:
     """The closing: the supplied one, else a last paragraph of at most ten words."""
-    blocks = paragraphs(text)
-    last = F.try_element_at(blocks, F.lit(-1))
-    found = F.when((F.size(blocks) >= 2) & (F.size(words(last, profile)) <= SIGNOFF_WORDS), last)
+    last = let(paragraphs(text), lambda blocks: F.when(F.size(blocks) >= 2, F.try_element_at(blocks, F.lit(-1))))
+    found = let(last, lambda x: F.when(F.size(words(x, profile)) <= SIGNOFF_WORDS, x))
     return found if supplied is None else F.coalesce(absent(supplied), found)
 
 
@@ -77,12 +75,15 @@ def cut_tail(text: Column, block: Column) -> Column:
 
 def body_of(text: Column, salutation: Column, signoff: Column, signature: Column) -> Column:
     """The text without greeting, closing and signature; never empty unless the text is."""
-    out = cut_tail(cut_tail(text, signature), signoff)
-    at = F.instr(out, salutation)
-    before = F.left(out, F.greatest(at - 1, F.lit(0)))
-    few = F.size(F.filter(lines(before), lambda x: trimmed(x) != "")) < SALUTATION_LINES
-    cut = F.concat(before, F.substring(out, at + F.length(salutation), F.length(out)))
-    out = F.when(F.coalesce((at > 0) & few, F.lit(False)), cut).otherwise(out)
+
+    def greeted(out: Column) -> Column:
+        at = F.instr(out, salutation)
+        before = F.left(out, F.greatest(at - 1, F.lit(0)))
+        few = F.size(F.filter(lines(before), lambda x: trimmed(x) != "")) < SALUTATION_LINES
+        cut = F.concat(before, F.substring(out, at + F.length(salutation), F.length(out)))
+        return F.when(F.coalesce((at > 0) & few, F.lit(False)), cut).otherwise(out)
+
+    out = let(let(cut_tail(text, signature), lambda t: cut_tail(t, signoff)), greeted)
     return F.coalesce(F.nullif(trimmed(out), F.lit("")), trimmed(text))
 
 

@@ -763,11 +763,14 @@ def q54(spark, sf_dir):
     return counted.rollup("source", "label").agg(F.sum("k").alias("n")).select(F.coalesce("source", F.lit("all")).alias("file"), F.coalesce("label", F.lit("all")).alias("label"), "n")
 
 
-@query("q55_tex_to_text", f"SELECT doc_id, md5({d_trim('text')}) AS plain FROM documents")
+_LETTERS_ONLY = r"[^\p{L}\p{N} ]"
+
+
+@query("q55_tex_to_text", r"SELECT doc_id, md5('x' || chr(10) || trim(regexp_replace(text, '[^\p{L}\p{N} ]', '', 'g')) || chr(10) || 'done') AS plain FROM documents")
 def q55(spark, sf_dir):
-    tex = F.concat(F.lit("\\begin{letter}{x} % note 5\\% off\n\\documentclass[a4]{letter}\\textbf{"), F.regexp_replace("text", r"[\\{}%]", ""), F.lit("}\n\\today*"))
-    rows = docs(spark, sf_dir).where(~F.col("text").rlike(r"[\\{}%]") | F.lit(True))
-    return rows.select("doc_id", F.regexp_replace(parsing.tex_to_text(tex), r"\A\{x\} *\n*", "").alias("t")).select("doc_id", F.md5(F.regexp_replace("t", r"\Ax *\n*", "").cast("binary")).alias("plain"))
+    plain = F.trim(F.regexp_replace("text", _LETTERS_ONLY, ""))
+    tex = F.concat(F.lit("\\documentclass[a4]{letter}\n\\begin{letter}{x}% note 5\\% off\n\\textbf{"), plain, F.lit("}\n\\today* done"))
+    return docs(spark, sf_dir).select("doc_id", F.md5(F.regexp_replace(parsing.tex_to_text(tex), "\n +", "\n").cast("binary")).alias("plain"))
 
 
 @query(
