@@ -44,7 +44,7 @@ def similar_letters(df: DataFrame, text: str, order: str, least: float = SAME_LE
     left = pairs.join(shared.select(F.col("id").alias("s"), "run"), "s")
     counted = left.join(shared.select(F.col("id").alias("l"), "run"), ["l", "run"]).groupBy("s", "l", "ns").agg(F.count("*").alias("shared"))
     close = counted.where(F.col("shared") / F.col("ns") >= least)
-    return close.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "shared", F.col("ns").alias("smaller"))
+    return close.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "shared", F.col("ns").cast("long").alias("smaller"))
 
 
 def _written(df: DataFrame) -> DataFrame:
