@@ -1,0 +1,176 @@
+"""Sources: mailboxes, mail folders, letters, sample documents, file trees."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from ..functions.parsing import emlx_message, mailbox_name
+
+ENVELOPE = re.compile(rb"From [^\s]+ +\w{3} \w{3} [ \d]\d ")
+
+
+def cut_messages(chunks, start: int = 0, stop: int | None = None, lead: bool = True):
+    """(offset, message) of the messages that begin at ``start`` or later and before ``stop``.
+
+    ``chunks`` are the bytes from ``start`` on, of any sizes. An envelope counts at the
+    beginning of the file (``lead``) or after a blank line; it is left out, and a quoted
+    one loses one mark.
+    """
+    rest, at, blank, begun, lines = b"", start, lead, None, []
+
+    def finished():
+        return begun, b"".join(lines)
+
+    def handle(line: bytes):
+        nonlocal blank, begun, lines
+        done = None
+        if blank and ENVELOPE.match(line):
+            done = finished() if begun is not None else None
+            begun, lines = at, []
+        elif begun is not None:
+            lines.append(line[1:] if re.match(rb">+From ", line) else line)
+        blank = line.strip(b"\r\n") == b""
+        return done
+
+    for chunk in chunks:
+        rest += chunk
+        whole = rest.split(b"\n")
+        rest = whole.pop()
+        for part in whole:
+            line = part + b"\n"
+            done = handle(line)
+            if done:
+                yield done
+            if done is not None or begun is None:
+                if stop is not None and (begun if begun is not None else at) >= stop:
+                    return
+            at += len(line)
+    if rest:
+        done = handle(rest)
+        if done:
+            yield done
+            if stop is not None and begun >= stop:
+                return
+    if begun is not None and (stop is None or begun < stop):
+        yield finished()
+
+
+class Range(InputPartition):
+    def __init__(self, path: str, start: int, stop: int):
+        self.path, self.start, self.stop = path, start, stop
+
+
+class MboxReader(DataSourceReader):
+    CHUNK = 1 << 20
+
+    def __init__(self, options):
+        self.path, self.split = options["path"], int(options.get("splitBytes", 64 << 20))
+
+    def partitions(self):
+        from pyarrow import fs
+
+        system, inner = fs.FileSystem.from_uri(self.path)
+        info = system.get_file_info(inner)
+        files = [info] if info.is_file else [f for f in system.get_file_info(fs.FileSelector(inner, recursive=True)) if f.is_file]
+        found = []
+        for f in sorted(files, key=lambda f: f.path):
+            for start in range(0, max(f.size, 1), self.split):
+                found.append(Range(f.path, start, min(start + self.split, f.size)))
+        return found
+
+    def read(self, partition):
+        from pyarrow import fs
+
+        system, _ = fs.FileSystem.from_uri(self.path)
+        with system.open_input_file(partition.path) as source:
+            # Begin a little early, so that the blank line before an envelope is seen.
+            start = max(0, partition.start - 4)
+            source.seek(start)
+            lead = start == 0
+
+            def chunks():
+                while data := source.read(self.CHUNK):
+                    yield data
+
+            for offset, message in cut_messages(chunks(), start, partition.stop, lead):
+                if offset >= partition.start:
+                    yield partition.path, offset, message
+
+
+class MboxSource(DataSource):
+    """Messages of mailbox files: spark.read.format("mbox").load(uri).
+
+    Files are read in byte ranges; a message belongs to the range that its envelope is in.
+    """
+
+    @classmethod
+    def name(cls):
+        return "mbox"
+
+    def schema(self):
+        return "source string, seq long, raw binary"
+
+    def reader(self, schema):
+        return MboxReader(self.options)
+
+
+def read_mbox(spark: SparkSession, uri: str, split_bytes: int = 64 << 20) -> DataFrame:
+    """(source, seq, raw): every message below ``uri``; seq is its place in the file."""
+    spark.dataSource.register(MboxSource)
+    return spark.read.format("mbox").option("splitBytes", str(split_bytes)).load(uri)
+
+
+SKIPPED_MAILBOXES = (
+    r"(?iu)^(?:bo.te d.envoi|brouillons?|conversation history|corbeille|courrier ind|deleted|drafts?|historique des conversations|import|journal|junk|notes"
+    r"|outbox|probl.mes de synchronisation|recovered messages|sendlater|spam|sync issues|t.ches|tasks|todo|trash|.l.ments supprim)"
+)
+
+
+def read_emlx(spark: SparkSession, root: str) -> DataFrame:
+    """(source, mailbox, seq, raw) of a tree of single-message files, skipped mailboxes out.
+
+    Paths are pruned before any content is read.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.emlx").load(root)
+    kept = files.where(~F.endswith("path", F.lit(".partial.emlx"))).withColumn("mailbox", mailbox_name(F.col("path")))
+    kept = kept.where(~F.regexp_like("mailbox", F.lit(SKIPPED_MAILBOXES)))
+    raw = F.encode(emlx_message(F.col("content")), "ISO-8859-1")
+    number = F.coalesce(F.try_to_number(F.regexp_extract("path", r"([0-9]{1,12})[^/0-9]*\z", 1), F.lit("999999999999")).cast("long"), F.lit(0))
+    return kept.select(F.col("path").alias("source"), "mailbox", number.alias("seq"), raw.alias("raw"))
+
+
+def read_letters(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".md", ".tex", ".txt")) -> DataFrame:
+    """(path, extension, content, text) of the letters of a folder, hidden files out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    extension = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)\z", 1))
+    named = files.where(~F.regexp_like(F.regexp_extract("path", r"([^/]*)\z", 1), F.lit(r"\A\."))).withColumn("extension", extension)
+    return named.where(F.col("extension").isin(*extensions)).select("path", "extension", "content", F.try_validate_utf8(F.col("content")).alias("text"))
+
+
+def read_samples(spark: SparkSession, path: str) -> DataFrame:
+    """Samples of collected documents (JSON): one row each, blank texts out; a sample takes
+    mailbox and adapter from its document where it has none."""
+    sample = "struct<id string, mailbox string, adapter string, source string, date string, recipient_domain string, surface string, register string, words int, text string, salutation string, signoff string, signature string>"
+    schema = f"tool string, lang string, adapter string, tag string, source string, collected string, samples array<{sample}>"
+    found = spark.read.option("multiLine", "true").schema(schema).json(path)
+    rows = found.select(F.col("lang"), F.col("tag"), F.col("adapter").alias("a"), F.posexplode("samples").alias("sample_seq", "s"))
+    flat = rows.select("lang", "sample_seq", "a", "tag", "s.*")
+    return flat.withColumns({"mailbox": F.coalesce("mailbox", "tag"), "adapter": F.coalesce("adapter", "a")}).drop("a", "tag").where(F.length(F.trim("text")) > 0)
+
+
+SKIPPED_FOLDERS = (".cache", ".git", ".next", ".pnpm-store", ".turbo", ".venv", ".yarn", "__pycache__", "build", "coverage", "dist", "node_modules", "vendor")
+
+
+def read_tree(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, text) of the text files of a tree; a NUL byte makes a file binary."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    inside = F.exists(F.split("path", "/"), lambda p: p.isin(*SKIPPED_FOLDERS))
+    return files.where(~inside & ~has_nul(F.col("content"))).select("path", F.decode("content", "UTF-8").alias("text"))
+
+
+def has_nul(content: Column) -> Column:
+    return F.contains(F.decode(content, "ISO-8859-1"), F.lit("\0"))
