@@ -7,6 +7,7 @@ are Arrow UDFs.
 
 from __future__ import annotations
 
+import functools
 import re
 
 import pandas as pd
@@ -79,7 +80,7 @@ def mask(text: Column, ibans: bool = True) -> Column:
 
 def mask_personal_data(text: Column, profile: Profile, ibans: bool = True) -> Column:
     """The masks of measuring, with the profile's placeholders."""
-    m = {k: v.replace("[", "\\[").replace("\\[", "[") for k, v in profile.masks.items()}
+    m = profile.masks
     gap = f"[{S[1:-1]}.-]"
     out = F.regexp_replace(text, r"[A-Za-z0-9_.+-]+@[A-Za-z0-9_-]+\.[A-Za-z0-9_.-]+", m["email"])
     out = F.regexp_replace(out, rf"{B}https?://[^{S[1:-1]}]+", m["url"])
@@ -95,6 +96,7 @@ def mask_personal_data(text: Column, profile: Profile, ibans: bool = True) -> Co
 _FOLD = str.maketrans("éèêàâ", "eeeaa")
 
 
+@functools.lru_cache(maxsize=16)
 def _keeper(profile: Profile):
     keep = profile.kept()
 

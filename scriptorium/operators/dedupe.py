@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import shingles
+from .tables import written
 
 SAME_LETTER = 0.8
 
@@ -32,9 +31,9 @@ def similar_letters(df: DataFrame, text: str, order: str, least: float = SAME_LE
     are looked up in the inverted index, so a run that most letters have is in few of them.
     """
     runs = df.select(F.col(order).alias("id"), shingles(F.col(text)).alias("runs")).where(F.size("runs") > 0)
-    flat = _written(runs.select("id", F.size("runs").alias("n"), F.explode("runs").alias("run")).select("id", "n", F.xxhash64("run").alias("run")))
+    flat = written(runs.select("id", F.size("runs").alias("n"), F.explode("runs").alias("run")).select("id", "n", F.xxhash64("run").alias("run")), "dedupe")
     often = flat.groupBy("run").agg(F.count("*").alias("df")).where("df > 1")
-    shared = _written(flat.join(often, "run"))
+    shared = written(flat.join(often, "run"), "dedupe")
     rare = F.row_number().over(W.partitionBy("id").orderBy("df", "run"))
     unique = F.col("n") - F.count("*").over(W.partitionBy("id"))
     prefix = shared.withColumn("k", rare).withColumn("unique", unique).where(F.col("k") + F.col("unique") <= F.col("n") - F.ceil(F.lit(least) * F.col("n")) + 1)
@@ -47,18 +46,6 @@ def similar_letters(df: DataFrame, text: str, order: str, least: float = SAME_LE
     return close.select(F.least("s", "l").alias("a"), F.greatest("s", "l").alias("b"), "shared", F.col("ns").cast("long").alias("smaller"))
 
 
-def _written(df: DataFrame) -> DataFrame:
-    """``df`` in the folder that spark.checkpoint.dir names, read again."""
-    import tempfile
-
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-    spark.conf.set("spark.checkpoint.dir", folder) if not spark.conf.get("spark.checkpoint.dir", None) else None
-    path = f"{folder.rstrip('/')}/scriptorium/dedupe-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def greedy_kept(ids: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
     """(order, kept): b goes if any kept a < b is its pair, in order.
 
@@ -66,9 +53,9 @@ def greedy_kept(ids: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
     undecided or kept smaller neighbour stays, and its larger neighbours go. Each round is
     a written table; rounds end when every row of a pair is decided.
     """
-    edges = _written(pairs.select("a", "b"))
+    edges = written(pairs.select("a", "b"), "dedupe")
     state = edges.select(F.col("a").alias("id")).union(edges.select(F.col("b").alias("id"))).distinct().withColumn("kept", F.lit(None).cast("boolean"))
-    state = _written(state)
+    state = written(state, "dedupe")
     while state.where("kept is null").limit(1).count():
         open_rows = state.where("kept is null").select("id")
         before = edges.join(state.select(F.col("id").alias("a"), F.col("kept").alias("ka")), "a").where("ka is null or ka")
@@ -76,5 +63,5 @@ def greedy_kept(ids: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
         stays = open_rows.join(blocked, "id", "left_anti").withColumn("now", F.lit(True))
         gone = edges.join(stays.select(F.col("id").alias("a")).union(state.where("kept").select(F.col("id").alias("a"))), "a").select(F.col("b").alias("id")).distinct().withColumn("gone", F.lit(True))
         after = state.join(stays, "id", "left").join(gone, "id", "left")
-        state = _written(after.select("id", F.coalesce("kept", F.when(F.col("now"), True), F.when(F.col("gone"), False)).alias("kept")))
+        state = written(after.select("id", F.coalesce("kept", F.when(F.col("now"), True), F.when(F.col("gone"), False)).alias("kept")), "dedupe")
     return ids.join(state.withColumnRenamed("id", order), order, "left").select(order, F.coalesce("kept", F.lit(True)).alias("kept"))

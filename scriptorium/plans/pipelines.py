@@ -11,6 +11,7 @@ from ..functions import decoding, masking, parsing, typography
 from ..functions.profiles import profile_for
 from ..functions.text import word_count
 from ..operators import classify, cleaning, measure
+from ..operators.tables import written
 
 
 def _arrow(schema: T.StructType):
@@ -126,7 +127,7 @@ def analyse(samples: DataFrame, lang: str = "en", registers: dict[str, str] | No
         samples = classify.assign_registers(samples, registers)
         report = classify.register_report(samples, registers)
     plain = samples.withColumns({c: typography.normalize(F.col(c), lang, {"Dashes": "replace"}) for c in ("text", "salutation", "signoff") if c in samples.columns})
-    found = measure.records(plain, profile, supplied=True)
+    found = written(measure.records(plain, profile, supplied=True), "records")
     scalar = measure.measures(found, profile)
     known = measure.vocabulary(found, profile)
     runs = found.select(key, "register", "surface").join(measure.masked_runs(found, known, profile, key), key)

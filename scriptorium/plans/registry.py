@@ -10,6 +10,7 @@ from ..functions.profiles import ENGLISH, FRENCH, FUNCTION_WORDS
 from ..functions.regex import count_of, matches, rate, rounded, share
 from ..functions.text import paragraphs, sentences, word_count, words
 from ..operators import classify, cleaning, dedupe, measure
+from ..operators.tables import written
 from . import stimulus as st
 
 QUERIES: dict = {}
@@ -338,7 +339,7 @@ def _samples(spark, sf_dir, text=None):
 
 @query("q18_ngrams_masked")
 def q18(spark, sf_dir):
-    found = measure.records(_samples(spark, sf_dir, st.LETTER), ENGLISH)
+    found = written(measure.records(_samples(spark, sf_dir, st.LETTER), ENGLISH), "records")
     runs = found.select("doc_id", "register", "surface").join(measure.masked_runs(found, measure.vocabulary(found, ENGLISH), ENGLISH, "doc_id"), "doc_id")
     totals = measure.measures(found, ENGLISH).select("kind", "key", "words_total")
     return measure.ngrams(runs, totals, 2, ENGLISH.bigrams)
