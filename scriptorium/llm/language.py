@@ -41,7 +41,7 @@ STEPS = 12
 PENALTY = 4.0
 #: Languages that a document can mix, most.
 SET = 3
-PIECE = 2 << 20
+PIECE = 1 << 20
 
 
 def held_out(doc_id: Column) -> Column:

@@ -8,7 +8,7 @@ their pre-tokens.
 
 The corpus of a replay is a batch of one task and not the whole table: pre-tokens are
 encoded independently of one another, so the ids are the same, and neither the texts nor
-the pre-tokens (about as many bytes as the texts) are shuffled. A worker keeps the ids of
+the pre-tokens (about as many bytes as the texts) are shuffled. A task keeps the ids of
 pre-tokens it has met, up to ``KEPT``, for its later batches.
 
 A vocabulary may rank a merge below the ranks of the tokens it joins. Where replaying such
@@ -34,10 +34,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Pre-tokens that a worker keeps; beyond it the store is emptied.
-KEPT = 500_000
+#: Pre-tokens that a task keeps; beyond it the store is emptied.
+KEPT = 250_000
 #: Bytes of text that are encoded together.
-PIECE = 8 << 20
+PIECE = 3 << 20
 
 NONE = np.int64(1) << 40
 
@@ -302,6 +302,7 @@ def encode_digests(df: DataFrame, path: str | None = None, pattern: str | None =
                     pa.array([hashlib.sha256(vocab.decode_decimal(s)).hexdigest() for s in ids], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        vocab.kept.clear()
 
     schema = T.StructType([df.schema["doc_id"], *T._parse_datatype_string(RESULT).fields])
     return df.select("doc_id", "text").mapInArrow(run, schema)
@@ -324,6 +325,7 @@ def encode_texts(df: DataFrame, path: str | None = None, pattern: str | None = N
                 decoded = [vocab.decode(x).decode("utf-8", "replace") for x in ids]
                 columns = {"ids": pa.array(ids, arrow.field("ids").type), "n_tokens": pa.array(list(map(len, ids)), pa.int64()), "decoded": pa.array(decoded, pa.string())}
                 yield common.carried(batch, arrow, columns)
+        vocab.kept.clear()
 
     return base.mapInArrow(run, schema)
 
@@ -348,6 +350,7 @@ def encode_rows(df: DataFrame, path: str | None = None, pattern: str | None = No
                     "round_trip": pa.array([vocab.decode_decimal(s) == t.encode() for s, t in zip(ids, texts)], pa.bool_()),
                 }
                 yield common.carried(batch, arrow, columns)
+        vocab.kept.clear()
 
     return base.mapInArrow(run, schema)
 
