@@ -169,11 +169,11 @@ class Counter:
         """Tokens of each text."""
         if len(self.kept) > KEPT:
             self.kept.clear()
-        extra = [0] * len(texts)
+        extra, texts = [0] * len(texts), list(texts)
         if self.special:
             for i, t in enumerate(texts):
                 if "<" in t and (n := len(self.special.findall(t))):
-                    extra[i], texts = n, [*texts[:i], self.special.sub(" ", t), *texts[i + 1 :]]
+                    extra[i], texts[i] = n, self.special.sub(" ", t)
         split = [_WORD.findall(t) for t in texts]
         fresh = list(set().union(*split) - self.kept.keys())
         if fresh:
