@@ -6,6 +6,7 @@ Intermediate results that cut lineage are written as Parquet below the folder th
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -38,11 +39,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    release(spark)
     back = spark.read.schema(df.schema).parquet(path)
     back._scriptorium_path = path
     return back
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of plans that nothing refers to any more;
+    it learns of them only when the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing lazy refers to any more."""
     for df in tables:
@@ -85,7 +94,6 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     """Slices of a batch that hold about ``most_bytes`` of text each, one row at least."""
-    kind = batch.schema.field(column).type
     if not batch.num_rows:
         return
     import pyarrow.compute as pc
@@ -94,7 +102,6 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
     sizes = np.asarray(pc.fill_null(lengths, 0), np.int64)
     part = np.cumsum(sizes) // most_bytes
     cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    del kind
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)

@@ -331,8 +331,11 @@ def repeated_spans(df: DataFrame) -> DataFrame:
     flags = _repeated(_runs(df), ["row", "run", "kind"]).select("row", (F.col("run") * 3 + F.col("kind")).cast("int").alias("flag"))
     flags = flags.groupBy("row").agg(F.collect_set("flag").alias("flags"))
     flags = common.written(flags, "suffix-flags")
+    common.release(df.sparkSession)  # the plan of what was written is free only now
     texts = _named(df).drop("doc_id")
     found = common.written(_open_starts(texts.join(flags, "row")), "suffix-starts")
+    common.forget(flags)
+    common.release(df.sparkSession)
     sure = found.where(F.col("kind") == _SPAN).select("row", F.col("run").alias("begin"), (F.col("run") + F.col("second")).cast("int").alias("end"))
     starts = _repeated(found.where(F.col("kind") == _WHOLE), ["row", "run"]).select("row", F.col("run").alias("begin"), F.col("run").alias("end"))
     return sure.union(starts).groupBy("row").agg(F.collect_list("begin").alias("begins"), F.collect_list("end").alias("ends"))
@@ -345,6 +348,7 @@ def remove_repeats(df: DataFrame) -> DataFrame:
 
 def _removed(df: DataFrame, more: str, digest) -> DataFrame:
     spans = common.written(repeated_spans(df), "suffix-spans")
+    common.release(df.sparkSession)
     schema = T.StructType([df.schema["doc_id"], *T._parse_datatype_string(more).fields])
     arrow = common.arrow_schema(schema)
 
