@@ -152,3 +152,29 @@ def mask_body(text: Column, known: Column, profile: Profile) -> Column:
         return pd.Series([t if t is None else mask_body_text(t, profile, set(w) if w is not None else ()) for t, w in zip(texts, words)])
 
     return run(text, known)
+
+
+def mask_extract_text(blocks, greeted: bool, closed: bool, profile: Profile, known) -> list[str]:
+    """Paragraphs, personal data masked: names off the first line if the text is ``greeted``
+    and off the last paragraph if it is ``closed``; elsewhere as in a body."""
+    out = []
+    for k, block in enumerate(blocks):
+        if closed and k and k == len(blocks) - 1:
+            out.append(mask_names_text(block, profile))
+        elif greeted and not k:
+            first, _, rest = block.partition("\n")
+            out.append("\n".join(filter(None, [mask_names_text(first, profile), mask_body_text(rest, profile, known)])))
+        else:
+            out.append(mask_body_text(block, profile, known))
+    return out
+
+
+def mask_extract(blocks: Column, greeted: Column, closed: Column, known: Column, profile: Profile) -> Column:
+    """``known`` as in ``mask_body``."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(blocks: pd.Series, greeted: pd.Series, closed: pd.Series, words: pd.Series) -> pd.Series:
+        rows = zip(blocks, greeted, closed, words)
+        return pd.Series([b if b is None else mask_extract_text(list(b), g, c, profile, set(w) if w is not None else ()) for b, g, c, w in rows], dtype=object)
+
+    return run(blocks, F.coalesce(greeted, F.lit(False)), F.coalesce(closed, F.lit(False)), known)

@@ -286,16 +286,21 @@ def vocabulary(found: DataFrame, profile: Profile) -> DataFrame:
     return raw.where(head == F.lower(head)).select(F.lower("raw").alias("word")).distinct()
 
 
-def masked_runs(found: DataFrame, known: DataFrame, profile: Profile, key: str) -> DataFrame:
-    """``key`` and runs (array of arrays of tokens): the masked body, cut at placeholders.
+def vouched(masked: DataFrame, known: DataFrame, profile: Profile, key: str) -> DataFrame:
+    """``masked`` (key, masked) with known: the words of ``known`` among a text's capitalised ones.
 
-    The capitalised words of a body meet the vocabulary in a join; each body then carries
-    only its own words that the corpus vouches for.
+    The capitalised words meet the vocabulary in a join; each text then carries only its own
+    words that the corpus vouches for.
     """
-    masked = found.select(key, masking.mask_personal_data(F.col("body"), profile).alias("masked"))
     capital = F.array_distinct(F.flatten(F.transform(F.regexp_extract_all("masked", F.lit(r"\p{Lu}[\p{L}'-]*"), F.lit(0)), lambda w: words(w, profile))))
     asked = masked.select(key, F.explode(capital).alias("word")).join(known, "word").groupBy(key).agg(F.collect_list("word").alias("known"))
-    rest = masked.join(asked, key, "left").select(key, masking.mask_body(F.col("masked"), F.col("known"), profile).alias("masked"))
+    return masked.join(asked, key, "left")
+
+
+def masked_runs(found: DataFrame, known: DataFrame, profile: Profile, key: str) -> DataFrame:
+    """``key`` and runs (array of arrays of tokens): the masked body, cut at placeholders."""
+    masked = found.select(key, masking.mask_personal_data(F.col("body"), profile).alias("masked"))
+    rest = vouched(masked, known, profile, key).select(key, masking.mask_body(F.col("masked"), F.col("known"), profile).alias("masked"))
     holders = "|".join(h.replace("[", r"\[").replace("]", r"\]") for h in profile.placeholders())
     return rest.select(key, F.filter(F.transform(F.split("masked", holders, -1), lambda p: words(p, profile)), lambda r: F.size(r) > 0).alias("runs"))
 
@@ -369,8 +374,25 @@ def exemplars(found: DataFrame, order: str, k: int = 5, adapter: str = "adapter"
 
 
 def extract_of(text: Column, profile: Profile, most: int = 120) -> Column:
+    """``cut_extract`` of a text as it stands; ``extracts`` masks first."""
+    return cut_extract(paragraphs(text), profile, most)
+
+
+def extracts(samples: DataFrame, known: DataFrame, profile: Profile, key: str, most: int = 120) -> DataFrame:
+    """``key`` and extract (STRUCT<text, words, cut>) of samples (text): personal data, then
+    names masked, then cut. ``known`` is the vocabulary of the whole corpus."""
+    masked = samples.select(key, masking.mask_personal_data(F.col("text"), profile).alias("masked"))
+    split = vouched(masked, known, profile, key).withColumn("blocks", paragraphs(F.col("masked")))
+    greeted = greets(trimmed(F.get(lines(F.get("blocks", F.lit(0))), F.lit(0))), profile)
+    closed = F.size(words(F.try_element_at("blocks", F.lit(-1)), profile)) <= SIGNOFF_WORDS
+    # The names are masked in a step of its own, so that the cut below reads their result once.
+    named = split.select(key, masking.mask_extract(F.col("blocks"), greeted, closed, F.col("known"), profile).alias("blocks"))
+    return named.select(key, cut_extract(F.col("blocks"), profile, most).alias("extract"))
+
+
+def cut_extract(paragraphs_of: Column, profile: Profile, most: int = 120) -> Column:
     """STRUCT<text, words, cut>: whole paragraphs until ``most`` words; the first always."""
-    blocks = F.transform(paragraphs(text), lambda b: F.struct(b.alias("b"), F.size(words(b, profile)).alias("n")))
+    blocks = F.transform(paragraphs_of, lambda b: F.struct(b.alias("b"), F.size(words(b, profile)).alias("n")))
     start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(0).alias("n"), F.lit(False).alias("stop"))
 
     def step(state: Column, block: Column) -> Column:

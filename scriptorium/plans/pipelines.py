@@ -129,7 +129,7 @@ def analyse(samples: DataFrame, lang: str = "en", registers: dict[str, str] | No
     plain = samples.withColumns({c: typography.normalize(F.col(c), lang, {"Dashes": "replace"}) for c in ("text", "salutation", "signoff") if c in samples.columns})
     found = written(measure.records(plain, profile, supplied=True), "records")
     scalar = measure.measures(found, profile)
-    known = measure.vocabulary(found, profile)
+    known = written(measure.vocabulary(found, profile), "vocabulary")
     runs = found.select(key, "register", "surface").join(measure.masked_runs(found, known, profile, key), key)
     totals = scalar.select("kind", "key", "words_total")
     frames = {
@@ -140,7 +140,7 @@ def analyse(samples: DataFrame, lang: str = "en", registers: dict[str, str] | No
         "tics": measure.tics(found, profile),
         "bigrams": measure.ngrams(runs, totals, 2, profile.bigrams),
         "trigrams": measure.ngrams(runs, totals, 3, profile.trigrams),
-        "exemplars": measure.exemplars(found, key),
+        "exemplars": with_extracts(measure.exemplars(found, key), found, known, profile, key),
         "typography": measure.typographic_counts(samples),
         "untouched": measure.untouched_counts(samples),
     }
@@ -149,6 +149,16 @@ def analyse(samples: DataFrame, lang: str = "en", registers: dict[str, str] | No
     return frames
 
 
+def with_extracts(chosen: DataFrame, found: DataFrame, known: DataFrame, profile, key: str) -> DataFrame:
+    """Exemplars with what a reader sees of each: date, surface, register, quoted_words, cut
+    and the masked text. Only the chosen samples are masked."""
+    chosen = written(chosen, "exemplars")
+    picked = found.join(chosen.select(key).distinct(), key, "left_semi")
+    facts = picked.select(key, *[c for c in ("date", "surface", "register") if c in found.columns])
+    shown = measure.extracts(picked, known, profile, key).select(key, F.col("extract.words").alias("quoted_words"), "extract.cut", "extract.text")
+    return chosen.join(facts, key).join(shown, key)
+
+
 def assembled(frames: dict[str, DataFrame]) -> dict:
     """One document per group of the frames that have groups, and the rest beside them."""
     groups: dict[tuple[str, str], dict] = {}

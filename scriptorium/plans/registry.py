@@ -780,3 +780,14 @@ def q55(spark, sf_dir):
 )
 def q56(spark, sf_dir):
     return measure.evenly(docs(spark, sf_dir).select("doc_id"), "doc_id", 20)
+
+
+# -- whole jobs that SQL cannot follow -----------------------------------------------------------
+
+
+@query("q57_masked_extracts")
+def q57(spark, sf_dir):
+    found = written(measure.records(_samples(spark, sf_dir, st.LETTER_PERSONAL), ENGLISH), "records")
+    known = written(measure.vocabulary(found, ENGLISH), "vocabulary")
+    rows = measure.extracts(found, known, ENGLISH, "doc_id")
+    return rows.select("doc_id", F.md5(F.col("extract.text").cast("binary")).alias("extract"), "extract.words", "extract.cut")
