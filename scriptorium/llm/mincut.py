@@ -10,7 +10,8 @@ minimum cut, found by max-flow, separates content from boilerplate as a whole pa
 Elements that never show text (script, style, template, ...) are dropped while parsing.
 
 Defined cases: null html is empty, and a page without content gives an empty text;
-unclosed, stray and misnested tags are tolerated; a page of any length is parsed whole;
+unclosed, stray and misnested tags are tolerated, and a head left open ends at body or at
+what may not stand in it; a page of any length is parsed whole;
 repeated pages give equal rows; other columns are carried by ``extract`` except those
 named like its results; an empty table gives an empty result.
 """
@@ -41,6 +42,8 @@ _ABOUT = re.compile(r"\b(?:has|with|without|no)[-_]\w+", re.I)
 
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
 _HIDDEN = frozenset("script style template noscript head title iframe noembed noframes textarea xmp svg math canvas object audio video map datalist select option button".split())
+#: What may stand in a head; anything else, and text, ends a head left open.
+_IN_HEAD = frozenset("base head link meta noframes noscript script style template title".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset "
@@ -134,8 +137,16 @@ def blocks_of(html: str) -> list[Block]:
             text.clear()
         linked = 0
 
+    def end_head() -> None:
+        """Closes a head left open and what is open in it, but for a template."""
+        names = [e[0] for e in stack]
+        if "head" in names and "template" not in names:
+            del stack[names.index("head") :]
+
     def say(raw: str) -> None:
         nonlocal linked
+        if stack[-1][0] == "head" and raw.strip(" \t\n\f\r"):
+            end_head()
         if raw and not stack[-1][4]:
             text.append(raw)
             if stack[-1][5]:
@@ -156,7 +167,7 @@ def blocks_of(html: str) -> list[Block]:
         at = m.end()
         name = m[2] or m[5]
         if name is None:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and stack[-1][0] != "head":
                 say(m[0][9:-3])
             continue
         name, closing, attributes = name.lower(), m[1] or m[4], m[3] or m[6] or ""
@@ -169,6 +180,8 @@ def blocks_of(html: str) -> list[Block]:
                 if name in _BLOCK:
                     flush()
             continue
+        if name == "body" or stack[-1][0] == "head" and name not in _IN_HEAD:
+            end_head()
         if name == "br":
             say("\n")
             continue

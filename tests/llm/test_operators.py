@@ -146,6 +146,14 @@ def test_html_extraction(spark):
     assert got == {1: ("T & U Hello big world. Two three.", 33), 2: ("", 0), 3: ("", 0), 4: ("", 0)}
 
 
+@pytest.mark.parametrize("inside", ["<body>", "", "<body class=x>", "<link rel=a><style>p{}</style><body>", "<noscript><body>", "<head>"])
+def test_head_without_end_tag(inside):
+    page = f"<html><head><title>T</title>{inside}<p>Hello there, this is the page.</p>"
+    assert mincut.main_text(page) == "Hello there, this is the page."
+    assert mincut.main_text("<html><head><title>T</title>Hello there, this is the page.") == "Hello there, this is the page."
+    assert mincut.main_text("<head><title>T</title><script>x</script><noscript><p>No.</p></noscript></head><p>Hello.</p>") == "Hello."
+
+
 def test_min_cut_is_least():
     r = random.Random(5)
     for _ in range(60):
