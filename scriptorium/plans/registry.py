@@ -791,3 +791,18 @@ def q57(spark, sf_dir):
     known = written(measure.vocabulary(found, ENGLISH), "vocabulary")
     rows = measure.extracts(found, known, ENGLISH, "doc_id")
     return rows.select("doc_id", F.md5(F.col("extract.text").cast("binary")).alias("extract"), "extract.words", "extract.cut")
+
+
+@query("q58_mask_collect_ibans")
+def q58(spark, sf_dir):
+    return docs(spark, sf_dir, st.ACCOUNTS).select("doc_id", F.md5(masking.mask(F.col("text")).cast("binary")).alias("masked"))
+
+
+@query("q59_mask_measure_ibans")
+def q59(spark, sf_dir):
+    return docs(spark, sf_dir, st.ACCOUNTS).select("doc_id", F.md5(masking.mask_personal_data(F.col("text"), ENGLISH).cast("binary")).alias("masked"))
+
+
+@query("q60_mask_iban_texts")
+def q60(spark, sf_dir):
+    return docs(spark, sf_dir, st.ACCOUNTS).select("doc_id", F.md5(masking.mask_ibans(F.col("text")).cast("binary")).alias("masked"))

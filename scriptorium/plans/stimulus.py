@@ -39,6 +39,11 @@ PERSONAL = (
     "WHEN 2 THEN 'Envoyez au 52 rue des Lilas, 75011 Paris. ' || text WHEN 3 THEN text || ' compte 1234567X890 clos' WHEN 4 THEN text || ' (415) 555-2671 or 415-555-2671' "
     "WHEN 5 THEN text || ' see https://x.test/a and 1234567' WHEN 6 THEN 'Le 03.03.2026 tout est parti a 12 EUR. ' || text ELSE text END"
 )
+#: Account numbers beside the whole text with its personal data.
+ACCOUNTS = (
+    f"CASE doc_id % 3 WHEN 0 THEN 'Le compte BE68 5390 0754 7034 chez la banque. ' || ({PERSONAL}) WHEN 1 THEN ({PERSONAL}) || {NL} || 'le compte est gb29 nwbk 6016 1331 9268 19 depuis mars' "
+    f"ELSE ({PERSONAL}) || ' il 12 ans sans rien dire du tout' END"
+)
 #: A letter around a text with personal data.
 LETTER_PERSONAL = f"{GREETING} || {NL} || {NL} || replace({PERSONAL}, {NL}, {NL} || {NL}) || {NL} || {NL} || {CLOSING}"
 ADDRESS = "CASE doc_id % 4 WHEN 0 THEN 'Sam <Sam.S@Example.org>, ann@gouv.fr' WHEN 1 THEN 'no-reply@shop.example.com' WHEN 2 THEN 'Ann Lee <ann@tribunal.example.fr>' ELSE 'undisclosed' END"

@@ -81,3 +81,46 @@ def test_analyse_has_extracts(spark):
     assert first["text"] == "Dear [name],\n\nI met [name] at [email] 2 times.\n\nBest, [name]" and first["quoted_words"] == len(plain_words(first["text"]))
     assert (first["date"], first["surface"], first["register"], first["reviewed"], first["cut"]) == ("2026-01", "email", "r", True, False)
     assert "> I met [name] at [email] 2 times.\n" in reports.exemplars_markdown(groups)
+
+
+def plain_iban(text, space=" "):
+    """Every place in turn: the longest match there, less the words at its end."""
+    out, at = [], 0
+    shape = regex.compile(rf"(?<![A-Za-z0-9_])[A-Za-z]{{2}}[0-9]{{2}}(?:{space}?[A-Za-z0-9]{{4}}){{2,7}}(?:{space}?[A-Za-z0-9]{{1,3}})?(?![A-Za-z0-9_])")
+    while at < len(text):
+        m = shape.match(text, at)
+        if not m:
+            out.append(text[at])
+            at += 1
+            continue
+        parts = re.split(r"(\s+)", m[0])
+        while len(parts) > 1 and parts[-1].isalpha():
+            parts = parts[:-2]
+        head = "".join(parts)
+        out.append("[iban]" + m[0][len(head) :] if len(re.findall("[0-9]", head)) >= 8 else m[0])
+        at = m.end()
+    return "".join(out)
+
+
+def plain_collect(text):
+    def java(rx):
+        return regex.compile(regex.sub(r"\\x\{([0-9A-F]+)\}", lambda m: f"\\u{int(m[1], 16):04x}", rx).replace("(?iu)", "(?i)").replace(r"\z", r"\Z"))
+
+    text = plain_iban(re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]", text))
+    if java(masking.CASE).search(text):
+        text = java(masking.AMOUNT).sub("[amount]", java(masking.CASE).sub(r"\1\2[reference]", text))
+    text = java(masking.STREET).sub("[address]", text)
+    text = java(masking.IDENTIFIER).sub("[reference]", text)
+    return java(masking.PHONE).sub("[phone]", text)
+
+
+@pytest.mark.parametrize(
+    "name, plain",
+    [("q58_mask_collect_ibans", plain_collect), ("q59_mask_measure_ibans", plain_personal), ("q60_mask_iban_texts", plain_iban)],
+)
+def test_ibans_go_from_whole_texts(spark, name, plain):
+    texts = {r["doc_id"]: r["text"] for r in registry.docs(spark, SF, st.ACCOUNTS).collect()}
+    want = {k: plain(t) for k, t in texts.items()}
+    found = {r["doc_id"]: r["masked"] for r in registry.QUERIES[name](spark, SF).collect()}
+    assert found == {k: hashlib.md5(t.encode()).hexdigest() for k, t in want.items()}
+    assert all(("[iban]" in t) for k, t in want.items() if k % 3 < 2) and sum(len(t) for t in want.values()) > 100 * len(want)
