@@ -8,6 +8,8 @@ shingle stops as soon as its next one comes after the last register of the docum
 reached. Two documents agree in a register with their probability Jaccard similarity.
 Weights grow with the logarithm of the count: without repeats this is the plain Jaccard
 similarity of the sets, in which the threshold is stated and candidates are verified.
+A text with repeats is sketched a second time with weight 1, into the same bands, so that
+every pair at the threshold has the chance of the plain similarity to become a candidate.
 
 Texts that are equal up to white space share words and so are one text here; only distinct
 texts go further. ``BANDS`` bands of ``ROWS`` registers give buckets; in each bucket every
@@ -165,6 +167,30 @@ def text_name(text: Column) -> Column:
     return F.unhex(F.md5(F.trim(common.normalised(text)).cast("binary")))
 
 
+def _band_keys(signs: np.ndarray) -> np.ndarray:
+    keys = np.zeros((len(signs), BANDS), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(ROWS):
+            keys = common.mix64(keys + signs[:, k::ROWS] + _ODD)
+        return keys + np.arange(BANDS, dtype=np.uint64) * _ODD
+
+
+def _bands(found: np.ndarray, of: np.ndarray, weight: np.ndarray, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """[docs, 2 * BANDS]: the keys by weight and by weight 1, and which to keep (no key twice).
+
+    Without repeats both are the same, so only texts with repeats are sketched again.
+    """
+    keys = np.tile(_band_keys(signatures(found, of, weight, docs)), 2)
+    repeats = np.unique(of[weight > 1.0])
+    if len(repeats):
+        chosen = np.isin(of, repeats)
+        place = np.searchsorted(repeats, of[chosen])
+        keys[repeats, BANDS:] = _band_keys(signatures(found[chosen], place, np.ones(len(place)), len(repeats)))
+    kept = np.ones(keys.shape, bool)
+    kept[:, BANDS:] = keys[:, BANDS:] != keys[:, :BANDS]
+    return keys, kept
+
+
 def _sketch(df: DataFrame) -> DataFrame:
     """doc_id, id (the text's name) and band keys of every row."""
     rows = df.select("doc_id", text_name(F.col("text")).alias("id"), "text")
@@ -176,13 +202,9 @@ def _sketch(df: DataFrame) -> DataFrame:
             for batch in common.pieces(whole, "text", PIECE):
                 flat, starts = common.text_bytes(batch.column("text"))
                 docs = batch.num_rows
-                signs = signatures(*weighted(*shingles(flat, starts)), docs)
-                keys = np.zeros((docs, BANDS), np.uint64)
-                with np.errstate(over="ignore"):
-                    for k in range(ROWS):
-                        keys = common.mix64(keys + signs[:, k::ROWS] + _ODD)
-                    keys = keys + np.arange(BANDS, dtype=np.uint64) * _ODD
-                bands = pa.ListArray.from_arrays(pa.array(np.arange(docs + 1, dtype=np.int32) * BANDS), pa.array(keys.reshape(-1).view(np.int64)))
+                keys, kept = _bands(*weighted(*shingles(flat, starts)), docs)
+                ends = np.append(0, np.cumsum(kept.sum(1))).astype(np.int32)
+                bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[kept].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), bands], schema=arrow)
 
     return rows.mapInArrow(run, schema)

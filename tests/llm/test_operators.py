@@ -258,6 +258,19 @@ def hard_texts(n):
     return ["", "aaaa" * 30, "  x  \n\n y ", " ", "x \n", "it's I'll", "a<|endoftext|>b", *["".join(r.choice(HARD) for _ in range(r.randint(1, 60))) for _ in range(n)], "".join(r.choice("abcde") for _ in range(3000))]
 
 
+def test_near_duplicates_with_uneven_repeats(spark):
+    rows = []
+    for k in range(20):
+        shared = prose(124, 500 + k)
+        for side in (0, 1):
+            line = prose(10, 600 + 2 * k + side)
+            rows.append((2 * k + side, shared + (" " + line) * 1000))
+    found = {r["doc_id"]: r["class_id"] for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    pairs = [[set(zip(*[t.split()[i:] for i in range(5)])) for _, t in rows[2 * k : 2 * k + 2]] for k in range(20)]
+    near = [k for k, (a, b) in enumerate(pairs) if len(a & b) >= 0.8 * len(a | b)]
+    assert [k for k in range(20) if found[2 * k + 1] == 2 * k] == near and near
+
+
 def test_bpe_is_the_library(spark, docs, empty):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = replay.defaults()
