@@ -8,8 +8,9 @@ their pre-tokens.
 
 The corpus of a replay is a batch of one task and not the whole table: pre-tokens are
 encoded independently of one another, so the ids are the same, and neither the texts nor
-the pre-tokens (about as many bytes as the texts) are shuffled. A task keeps the ids of
-pre-tokens it has met, up to ``KEPT``, for its later batches.
+the pre-tokens (about as many bytes as the texts) are shuffled. A worker keeps the ids of
+pre-tokens it has met for its later batches; above ``KEPT`` only those of the last batch,
+which are the frequent ones, stay.
 
 A vocabulary may rank a merge below the ranks of the tokens it joins. Where replaying such
 a pair could change the order in which a pre-token's pairs merge, that pre-token is
@@ -23,6 +24,7 @@ named like the results, which replace them; an empty table gives an empty result
 from __future__ import annotations
 
 import base64
+import bisect
 import hashlib
 import heapq
 import re
@@ -34,12 +36,15 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Pre-tokens that a task keeps; beyond it the store is emptied.
-KEPT = 250_000
+#: Pre-tokens that a worker keeps.
+KEPT = 400_000
 #: Bytes of text that are encoded together.
-PIECE = 3 << 20
+PIECE = 8 << 20
+#: Merges of a rank that are applied one by one; of more, all at once.
+FEW = 24
 
-NONE = np.int64(1) << 40
+NO_RANK = 1 << 40
+NONE = np.int64(NO_RANK)
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -47,21 +52,20 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def pairs_of(ranks: dict[bytes, int]) -> dict[int, int]:
+    """Rank by pair (a << 32 | b): two tokens merge where the bytes of both are a token."""
+    found = {}
+    for token, rank in ranks.items():
+        for k in range(1, len(token)):
+            a, b = ranks.get(token[:k]), ranks.get(token[k:])
+            if a is not None and b is not None:
+                found[a << 32 | b] = rank
+    return found
+
+
 class PairTable:
     """Rank of the pair (a, b) of token ids, for arrays; ``NONE`` where they don't merge."""
 
-    @classmethod
-    def of_ranks(cls, ranks: dict[bytes, int]) -> PairTable:
-        """Two tokens merge where the bytes of both are a token."""
-        keys, values = [], []
-        for token, rank in ranks.items():
-            for k in range(1, len(token)):
-                a, b = ranks.get(token[:k]), ranks.get(token[k:])
-                if a is not None and b is not None:
-                    keys.append(a << 32 | b)
-                    values.append(rank)
-        return cls(keys, values)
-
     def __init__(self, keys: list[int], values: list[int]):
         keys, values = np.array(keys, np.int64), np.array(values, np.int64)
         bits = max(4, int(len(keys) * 4).bit_length())
@@ -95,6 +99,14 @@ class PairTable:
         return result
 
 
+class _Places:
+    """The arrays of a replay, for single places (views are quicker at that than arrays)."""
+
+    def __init__(self, sym, after, before, alive, rank, odd, owner):
+        self.sym, self.after, self.before, self.rank = map(memoryview, (sym, after, before, rank))
+        self.alive, self.odd, self.owner = memoryview(alive), odd, owner
+
+
 class Vocabulary:
     """The ranks of a byte-level vocabulary, with what encoding and decoding need."""
 
@@ -103,13 +115,16 @@ class Vocabulary:
 
         self.ranks = load_ranks(path)
         self.pattern = regex.compile(pattern)
-        self.pairs = PairTable.of_ranks(self.ranks)
+        self.pair_ranks = pairs_of(self.ranks)
+        self.pairs = PairTable(list(self.pair_ranks), list(self.pair_ranks.values()))
         self.bytes = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.bytes[rank] = token
         self.byte_ids = np.array([self.ranks[bytes([i])] for i in range(256)], np.int64)
+        self.decimals = list(map(str, range(len(self.bytes))))
         self.by_decimal = {str(rank): token for token, rank in self.ranks.items()}
         self.kept: dict[str, str] = {}
+        self.words: dict[str, str] = {}
 
     # -- one pre-token alone -------------------------------------------------------------
 
@@ -149,6 +164,29 @@ class Vocabulary:
 
     def replay(self, words: list[bytes]) -> list[list[int]]:
         """The ids of each distinct pre-token, merging rank by rank over all of them."""
+        counts, ids, odd = self._merged(words)
+        result, i = [], 0
+        for c in counts:
+            result.append(ids[i : i + c])
+            i += c
+        for k in odd:
+            result[k] = self.encode_alone(words[k])
+        return result
+
+    def replay_decimal(self, words: list[bytes]) -> list[str]:
+        """The same in decimal, joined by one space."""
+        counts, ids, odd = self._merged(words)
+        shown = list(map(self.decimals.__getitem__, ids))
+        result, i = [], 0
+        for c in counts:
+            result.append(shown[i] if c == 1 else " ".join(shown[i : i + c]))
+            i += c
+        for k in odd:
+            result[k] = " ".join(map(str, self.encode_alone(words[k])))
+        return result
+
+    def _merged(self, words: list[bytes]) -> tuple[list[int], list[int], list[int]]:
+        """How many symbols each word keeps, all kept symbols, and the words to do alone."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(lengths)
         n = int(ends[-1]) if len(words) else 0
@@ -169,22 +207,26 @@ class Vocabulary:
         begun = inside[rank[inside] < NONE]
         order = begun[np.argsort(rank[begun], kind="stable")]
         levels, starts = np.unique(rank[order], return_index=True)
+        # The inverted index: for each rank, places in arrays and places one by one.
         index: dict[int, list[np.ndarray]] = {int(r): [p] for r, p in zip(levels, np.split(order, starts[1:]))}
+        single: dict[int, list[int]] = {}
         heap = levels.tolist()
         heapq.heapify(heap)
+        one = _Places(sym, after, before, alive, rank, odd, owner)
         while heap:
             r = heapq.heappop(heap)
-            listed = index.pop(r, None)
-            if listed is None:
+            arrays, places = index.pop(r, ()), single.pop(r, ())
+            if sum(map(len, arrays)) + len(places) <= FEW:
+                self._merge_few(r, sorted({*places, *(i for p in arrays for i in p.tolist())}), one, n, index, single, heap)
                 continue
-            at = listed[0] if len(listed) == 1 else np.concatenate(listed)
-            at = at[alive[at] & (rank[at] == r)]
+            at = np.concatenate([*arrays, np.array(places, np.int64)])
+            at = np.sort(at[alive[at] & (rank[at] == r)])
             if not len(at):
                 continue
-            at = np.unique(at) if len(at) > 1 else at
+            at = at[np.append(True, at[1:] != at[:-1])]
             other = after[at]
-            if len(at) > 1 and (other[:-1] == at[1:]).any():  # aaa: of overlapping pairs every second, from the left
-                chained = np.append(False, other[:-1] == at[1:])
+            chained = np.append(False, other[:-1] == at[1:])
+            if chained.any():  # aaa: of overlapping pairs every second, from the left
                 head = np.flatnonzero(~chained)
                 step = np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))
                 at, other = at[step % 2 == 0], other[step % 2 == 0]
@@ -196,40 +238,56 @@ class Vocabulary:
             prior = before[at]
             touched = np.concatenate([at, prior[prior != n]])
             nxt = after[touched]
-            fresh = np.where(nxt == n, NONE, NONE)
-            real = nxt != n
+            real = np.flatnonzero(nxt != n)
+            fresh = np.full(len(touched), NONE, np.int64)
             fresh[real] = self.pairs(sym[touched[real]], sym[nxt[real]])
             rank[touched] = fresh
-            found = fresh < NONE
-            low = found & (fresh <= r)
+            found = np.flatnonzero(fresh < NONE)
+            if not len(found):
+                continue
+            touched, fresh = touched[found], fresh[found]
+            low = fresh <= r
             if low.any():
                 odd[owner[touched[low]]] = True
-            touched, fresh = touched[found], fresh[found]
-            if len(touched) == 1:
-                news = [(int(fresh[0]), touched)]
-            elif len(touched):
-                by = np.argsort(fresh, kind="stable")
-                touched, fresh = touched[by], fresh[by]
-                cuts = np.flatnonzero(np.diff(fresh)) + 1
-                news = list(zip(fresh[np.append(0, cuts)].tolist(), np.split(touched, cuts)))
-            else:
-                news = []
-            for q, p in news:
+            by = np.argsort(fresh, kind="stable")
+            touched, fresh = touched[by], fresh[by]
+            cuts = [0, *(np.flatnonzero(fresh[1:] != fresh[:-1]) + 1).tolist(), len(fresh)]
+            for a, b in zip(cuts, cuts[1:]):
+                q = int(fresh[a])
                 if q in index:
-                    index[q].append(p)
+                    index[q].append(touched[a:b])
                 else:
-                    index[q] = [p]
-                    heapq.heappush(heap, q)
+                    index[q] = [touched[a:b]]
+                    if q not in single:
+                        heapq.heappush(heap, q)
         kept = np.flatnonzero(alive[:n])
-        counts = np.bincount(owner[kept], minlength=len(words))
-        flat_ids = sym[kept].tolist()
-        result, i = [], 0
-        for k, c in enumerate(counts.tolist()):
-            result.append(flat_ids[i : i + c])
-            i += c
-        for k in np.flatnonzero(odd).tolist():
-            result[k] = self.encode_alone(words[k])
-        return result
+        return np.bincount(owner[kept], minlength=len(words)).tolist(), sym[kept].tolist(), np.flatnonzero(odd).tolist()
+
+    def _merge_few(self, r: int, places: list[int], one: _Places, n: int, index: dict, single: dict, heap: list[int]) -> None:
+        """Merges at rank ``r``, place after place; as above, without arrays for so few."""
+        sym, after, before, alive, rank = one.sym, one.after, one.before, one.alive, one.rank
+        find = self.pair_ranks.get
+        for i in places:
+            if not alive[i] or rank[i] != r:
+                continue
+            j = after[i]
+            k = after[j]
+            sym[i], alive[j], rank[j], after[i], before[k] = r, False, NO_RANK, k, i
+            rank[i] = NO_RANK
+            for x, y in ((i, k), (before[i], i)):
+                if x == n or y == n:
+                    continue
+                q = find(sym[x] << 32 | sym[y], NO_RANK)
+                rank[x] = q
+                if q < NO_RANK:
+                    if q <= r:
+                        one.odd[one.owner[x]] = True
+                    if q in single:
+                        single[q].append(x)
+                    else:
+                        single[q] = [x]
+                        if q not in index:
+                            heapq.heappush(heap, q)
 
     # -- documents -----------------------------------------------------------------------
 
@@ -237,21 +295,39 @@ class Vocabulary:
         """Pieces of a text that the pattern never matches across, in order."""
         return _UNIT.findall(text)
 
+    def _parts(self, units: list[str]) -> list[list[str]]:
+        """The pre-tokens of each unit. Units that begin with a space are matched as one text."""
+        units.sort(key=_alone)
+        alone = bisect.bisect_left(units, True, key=_alone)
+        found = iter(self.pattern.findall("".join(units[:alone])))
+        parts = []
+        for unit in units[:alone]:
+            part = [next(found)]
+            missing = len(unit) - len(part[0])
+            while missing:
+                part.append(next(found))
+                missing -= len(part[-1])
+            parts.append(part)
+        return parts + list(map(self.pattern.findall, units[alone:]))
+
     def encode_decimal(self, texts: list[str]) -> list[str]:
         """The ids of each text in decimal, joined by one space."""
-        if len(self.kept) > KEPT:
-            self.kept.clear()
+        kept, decimal = self.kept, self.words
         split = [self._units(t) for t in texts]
-        fresh = set().union(*split) - self.kept.keys() if split else set()
-        if fresh:
-            fresh = list(fresh)
-            parts = [self.pattern.findall(u) for u in fresh]
-            words = list(set().union(*parts))
-            ids = dict(zip(words, self.replay([w.encode() for w in words])))
-            decimal = {w: " ".join(map(str, x)) for w, x in ids.items()}
+        met = set().union(*split)
+        if fresh := list(met - kept.keys()):
+            parts = self._parts(fresh)
+            used = set().union(*parts)
+            if words := list(used - decimal.keys()):
+                decimal.update(zip(words, self.replay_decimal([w.encode() for w in words])))
             for u, p in zip(fresh, parts):
-                self.kept[u] = decimal[p[0]] if len(p) == 1 else " ".join([decimal[w] for w in p])
-        return [" ".join(map(self.kept.__getitem__, units)) for units in split]
+                kept[u] = decimal[p[0]] if len(p) == 1 else " ".join([decimal[w] for w in p])
+            if len(decimal) > KEPT:
+                self.words = {w: decimal[w] for w in used}
+        result = [" ".join(map(kept.__getitem__, units)) for units in split]
+        if len(kept) > KEPT:
+            self.kept = {u: kept[u] for u in met}
+        return result
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [list(map(int, s.split())) for s in self.encode_decimal(texts)]
@@ -267,6 +343,11 @@ class Vocabulary:
 #: white space that follows it, and what they do with white space depends on the next word.
 _UNIT = re.compile(r"\s*\S+|\s+\Z")
 
+
+def _alone(unit: str) -> bool:
+    return unit[0] not in " \n" or unit[-1].isspace()
+
+
 _LOADED: dict[tuple[str, str], Vocabulary] = {}
 
 
@@ -302,7 +383,6 @@ def encode_digests(df: DataFrame, path: str | None = None, pattern: str | None =
                     pa.array([hashlib.sha256(vocab.decode_decimal(s)).hexdigest() for s in ids], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        vocab.kept.clear()
 
     schema = T.StructType([df.schema["doc_id"], *T._parse_datatype_string(RESULT).fields])
     return df.select("doc_id", "text").mapInArrow(run, schema)
@@ -325,7 +405,6 @@ def encode_texts(df: DataFrame, path: str | None = None, pattern: str | None = N
                 decoded = [vocab.decode(x).decode("utf-8", "replace") for x in ids]
                 columns = {"ids": pa.array(ids, arrow.field("ids").type), "n_tokens": pa.array(list(map(len, ids)), pa.int64()), "decoded": pa.array(decoded, pa.string())}
                 yield common.carried(batch, arrow, columns)
-        vocab.kept.clear()
 
     return base.mapInArrow(run, schema)
 
@@ -350,7 +429,6 @@ def encode_rows(df: DataFrame, path: str | None = None, pattern: str | None = No
                     "round_trip": pa.array([vocab.decode_decimal(s) == t.encode() for s, t in zip(ids, texts)], pa.bool_()),
                 }
                 yield common.carried(batch, arrow, columns)
-        vocab.kept.clear()
 
     return base.mapInArrow(run, schema)
 
