@@ -4,6 +4,9 @@ import hashlib
 import random
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,31 +69,99 @@ def removed(data: bytes, counts) -> tuple:
     return len(data), len(data) - len(kept), spans, hashlib.sha256(kept).hexdigest()
 
 
-def test_suffix_dedup_is_brute_force(docs, empty, spark):
-    rows = [(i, t.encode()) for i, t in texts_of(docs)]
+def repeats(rows) -> list[tuple]:
+    """Brute force: rows of (id, bytes)."""
     counts = {}
     for _, b in rows:
         for i in range(len(b) - 399):
             counts[b[i : i + 400]] = counts.get(b[i : i + 400], 0) + 1
-    want = sorted(((i, *removed(b, counts)) for i, b in rows), key=repr)
-    found = suffix._removed(docs, suffix.RESULT, lambda kept: hashlib.sha256(kept).hexdigest())
-    assert sorted((tuple(r) for r in found.collect()), key=repr) == want
-    assert any(w[2] > 0 and w[2] < w[1] for w in want)
-    assert suffix._removed(empty, suffix.RESULT, lambda kept: "").collect() == []
+    return sorted(((i, *removed(b, counts)) for i, b in rows), key=repr)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_suffix_dedup_of_mosaics(spark, seed):
+def suffix_rows(df) -> list[tuple]:
+    found = suffix._removed(df, suffix.RESULT, lambda kept: hashlib.sha256(kept).hexdigest()).collect()
+    assert all(r["n_kept"] == r["n_bytes"] - r["n_removed"] and r["has_repeats"] == (r["n_removed"] > 0) for r in found)
+    return sorted((tuple(r)[:5] for r in found), key=repr)
+
+
+def mosaics(seed) -> list[tuple]:
     r = random.Random(seed)
     parts = [bytes(r.choice(b"abcd ") for _ in range(r.choice([150, 260, 399, 400, 401, 700]))).decode() for _ in range(12)]
-    rows = [(k, "".join(r.choice(parts) for _ in range(r.randint(1, 9)))) for k in range(40)]
-    counts = {}
-    for _, t in rows:
-        for i in range(len(t) - 399):
-            counts[t.encode()[i : i + 400]] = counts.get(t.encode()[i : i + 400], 0) + 1
-    want = sorted((k, *removed(t.encode(), counts)) for k, t in rows)
-    found = suffix._removed(spark.createDataFrame(rows, "doc_id long, text string"), suffix.RESULT, lambda kept: hashlib.sha256(kept).hexdigest())
-    assert sorted(tuple(r) for r in found.collect()) == want
+    return [(k, "".join(r.choice(parts) for _ in range(r.randint(1, 9)))) for k in range(40)]
+
+
+def test_suffix_dedup_is_brute_force(docs, empty, spark):
+    want = repeats([(i, t.encode()) for i, t in texts_of(docs)])
+    assert suffix_rows(docs) == want
+    assert any(w[2] > 0 and w[2] < w[1] for w in want)
+    assert suffix_rows(empty) == []
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_suffix_dedup_of_mosaics(spark, seed):
+    rows = mosaics(seed)
+    assert suffix_rows(spark.createDataFrame(rows, "doc_id long, text string")) == repeats([(k, t.encode()) for k, t in rows])
+
+
+def test_suffix_dedup_of_a_long_text(spark):
+    part = prose(100_000, 50)
+    rows = [(1, part + " " + prose(500_000, 51) + " " + part), (2, prose(50, 52)), (3, part[:3000])]
+    assert len(rows[0][1]) > 2 * suffix.PIECE / 2 and suffix_rows(spark.createDataFrame(rows, "doc_id long, text string")) == repeats([(k, t.encode()) for k, t in rows])
+
+
+def in_process(rows) -> list[tuple]:
+    """The same steps without Spark, so that parts of the module can be replaced."""
+    table = pa.table({"row": pa.array([hashlib.md5(str(k).encode()).digest()[:12] for k, _ in rows], pa.binary()), "text": [t for _, t in rows]})
+
+    def step(table, give, values):
+        parts = {}
+        for batch in table.combine_chunks().to_batches(max_chunksize=3):
+            out = suffix._Outbox(np.array([1 << 62, 1 << 63], np.uint64))
+            give(batch, out)
+            for packed in out.flush():
+                for part, blob in zip(*(c.to_pylist() for c in packed.columns)):
+                    parts.setdefault(part, []).append(pa.RecordBatch.from_pydict({"packed": pa.array([blob], pa.binary())}))
+        told = {}
+        for blobs in parts.values():
+            for batch in suffix._compare(blobs, values):
+                for row, x in zip(*(c.to_pylist() for c in batch.columns)):
+                    told.setdefault(row, []).append(x)
+        return told
+
+    flags = step(table, suffix._run_suffixes, suffix._values)
+    some = table.append_column("told", pa.array([flags.get(r) for r in table["row"].to_pylist()], pa.list_(pa.binary())))
+    spans = step(some.filter(pa.compute.is_valid(some["told"])), suffix._open_starts, suffix._span_values)
+    result = []
+    for (k, text), row in zip(rows, table["row"].to_pylist()):
+        pairs = np.frombuffer(b"".join(spans.get(row, [])), "<i4").reshape(-1, 2).astype(np.int64)
+        data, cut = text.encode(), suffix.spans_of(pairs[:, 0], pairs[:, 1])
+        kept = b"".join(data[a:b] for a, b in zip([0, *(y for _, y in cut)], [*(x for x, _ in cut), len(data)]))
+        result.append((k, len(data), len(data) - len(kept), len(cut), hashlib.sha256(kept).hexdigest()))
+    return sorted(result, key=repr)
+
+
+@pytest.mark.parametrize("chunk", [1 << 20, 40])
+@pytest.mark.parametrize("collide", [False, True])
+def test_suffixes_in_parts_and_with_equal_names(monkeypatch, chunk, collide):
+    """Buckets beyond a chunk; and 64-bit names of which every seven strings share one."""
+    monkeypatch.setattr(suffix, "CHUNK", chunk)
+    names = suffix.Slices.names
+    if collide:
+        monkeypatch.setattr(suffix.Slices, "names", lambda self, a, b: (lambda key, low: (key % np.uint64(3), low))(*names(self, a, b)))
+    for seed in range(4):
+        rows = mosaics(seed)
+        assert in_process(rows) == repeats([(k, t.encode()) for k, t in rows])
+
+
+def test_multikey_quicksort():
+    r = np.random.default_rng(1)
+    for _ in range(20):
+        tokens = [r.integers(0, 4, 300).astype(np.uint64) for _ in range(3)]
+        order, shared = suffix.multikey_order(tokens)
+        rows = list(zip(*(t[order].tolist() for t in tokens)))
+        assert rows == sorted(zip(*(t.tolist() for t in tokens)))
+        want = [0] + [next((k for k in range(3) if a[k] != b[k]), 3) for a, b in zip(rows, rows[1:])]
+        assert shared.tolist() == want
 
 
 def test_exact_dedup(docs, empty, monkeypatch):
@@ -206,8 +277,6 @@ def test_entropy_cells_are_brute_force():
     import math
     from collections import Counter
 
-    import numpy as np
-
     texts = [BASE.encode(), b"a" * 200, bytes(range(256)) * 2]
     starts = np.cumsum([0, *map(len, texts)])
     flat = np.frombuffer(b"".join(texts), np.uint8)
