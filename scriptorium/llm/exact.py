@@ -1,135 +1,148 @@
 """Exact dedup by deterministic block naming.
 
 Texts are equal when they are identical after each run of white space became one space.
-SHA-256 of the normalised text only *groups candidates*; identity comes from naming:
-the candidates' texts are cut into fixed-size blocks, the blocks sorted into integer
-names, and adjacent names named in pairs until each document has a single name. Two
-documents share a name only if every block is equal, whatever the hash does.
-
-Scale: one scan counts copies by hash. At most ``HOT_PARTS`` groups can hold more than
-1/HOT_PARTS of all rows; those few are known by name on every executor (a proven bound)
-and are split by salt, each salted part is named on its own, and one leader of each part
-(at most 2 * HOT_PARTS in all) is named again across parts. All else moves the text once,
-by hash, and names it in a stream that holds one document of each class at a time.
+A text is cut into blocks of a fixed size, the blocks are sorted into integer names, and
+adjacent names are named in pairs until the text has a single name. Two texts share a name
+only if every block of them is equal; no hash says that two texts are equal.
+
+Scale: texts are named bucket by bucket. A bucket, about ``BUCKET`` bytes of text, is chosen
+by a hash of the text, which only sees to it that equal texts meet; within a bucket all
+texts are named, and the identity of a text is its bucket and its name. A task holds one
+text of each name of the bucket it is at, and names the rest in pieces beside them, so a
+bucket may hold any number of copies. A sample of ``SAMPLE`` rows shows the texts that make
+up more than one in ``HOT`` of all rows; these are split by salt, one row of each name and
+salt is named again across the salts, and only the names come back. Which rows are in the
+sample changes where work is done and never a result.
 
 Defined cases: null text counts as empty; empty texts are equal to one another; a null
 doc_id orders after every other; rows that repeat a doc_id are rows of their own, and of
-equal rows one stays; an empty table gives an empty result; further columns are carried,
-and none can clash, because internal names begin with ``_sc_``.
+equal rows one stays; an empty table gives an empty result; further columns are carried
+whatever their names (columns are numbered inside).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import common
 
-#: Groups above 1/HOT_PARTS of all rows are split by salt.
-HOT_PARTS = 1000
-#: Rows that a group has at least before it is split.
-HOT_LEAST = 1000
 #: Bytes of a block; eight, so that a block is one machine word.
 BLOCK = 8
+#: Bytes of text in a bucket, about; and in the pieces that are named together.
+BUCKET = PIECE = 8 << 20
+#: Texts above one in so many rows are split by salt, as far as a sample of so many rows tells.
+HOT, SAMPLE = 1000, 100_000
+#: Copies in the sample that a text has at least before it is split.
+HOT_LEAST = 20
 
 
 def block_names(texts: list[bytes]) -> np.ndarray:
     """One integer per text; equal exactly for equal texts.
 
-    Blocks of ``BLOCK`` bytes are sorted into names, then adjacent names are named in
-    pairs until one is left. Lengths are named beside them, so that padding cannot make
-    unequal texts equal.
+    The first block of a text is its length, so that padding cannot make unequal texts
+    equal. All texts are named level by level together; those with fewer blocks are done
+    earlier, and the level belongs to the name.
     """
-    lengths = np.array([len(t) for t in texts], np.int64)
-    result = np.zeros(len(texts), np.int64)
-    base = 0
-    for length in np.unique(lengths):
-        rows = np.flatnonzero(lengths == length)
-        width = -(-int(length) // BLOCK) * BLOCK or BLOCK
-        flat = np.frombuffer(b"".join(texts[i].ljust(width, b"\0") for i in rows), np.uint64)
-        names = np.unique(flat, return_inverse=True)[1].reshape(len(rows), width // BLOCK).astype(np.int64)
-        while names.shape[1] > 1:
-            if names.shape[1] % 2:
-                names = np.concatenate([names, np.zeros((len(rows), 1), np.int64)], axis=1)
-            pairs = names[:, 0::2] * np.int64(names.max() + 1) + names[:, 1::2]
-            names = np.unique(pairs, return_inverse=True)[1].reshape(pairs.shape).astype(np.int64)
-        result[rows] = base + names[:, 0]
-        base += int(names[:, 0].max()) + 1
+    parts = [x for t in texts for x in (len(t).to_bytes(BLOCK, "little"), t, bytes(-len(t) % BLOCK))]
+    counts = np.array([1 - -len(t) // BLOCK for t in texts], np.int64)
+    names = np.unique(np.frombuffer(b"".join(parts), np.uint64), return_inverse=True)[1].astype(np.int64) + 1
+    result, rows, level = np.zeros(len(texts), np.int64), np.arange(len(texts)), 0
+    while len(rows):
+        ends = np.cumsum(counts)
+        done = counts == 1
+        result[rows[done]] = level << 40 | names[ends[done] - 1]
+        left = np.repeat(~done, counts)
+        names, counts, rows = names[left], counts[~done], rows[~done]
+        if not len(rows):
+            break
+        ends = np.cumsum(counts)
+        within = np.arange(len(names)) - np.repeat(ends - counts, counts)
+        first = np.flatnonzero(within % 2 == 0)
+        alone = np.zeros(len(names), bool)
+        alone[ends[counts % 2 == 1] - 1] = True  # the last of an odd number is paired with nothing: 0
+        second = np.where(alone[first], 0, names[np.minimum(first + 1, len(names) - 1)])
+        pairs = names[first] * (names.max() + 1) + second
+        names = np.unique(pairs, return_inverse=True)[1].astype(np.int64) + 1
+        counts = (counts + 1) // 2
+        level += 1
     return result
 
 
-def _name_stream(batches, out_schema, key: list[str], keep_text: str | None, carry: bool):
+def _name_stream(batches, key: list[str], text: str, finish):
     """Rows sorted by ``key`` and order of preference get their class within the key.
 
-    Holds one text of each class of the current key (more than one only if SHA-256
-    collides). Emits the class number ``_sc_local`` and whether the row leads its class.
+    ``finish(batch, class numbers, whether the row leads its class)`` makes the result. One
+    text of each class of the current key is held, and pieces are named beside them.
     """
     held_key, held = None, []
     for whole in batches:
-        for batch in common.pieces(whole, "_sc_norm"):
-            keys = list(zip(*(batch.column(k).to_pylist() for k in key)))
-            texts = [t.encode() for t in batch.column("_sc_norm").to_pylist()]
-            local, lead = np.zeros(len(keys), np.int32), np.zeros(len(keys), bool)
-            i = 0
-            while i < len(keys):
-                j = i + 1
-                while j < len(keys) and keys[j] == keys[i]:
-                    j += 1
-                if keys[i] != held_key:
-                    held_key, held = keys[i], []
-                if j == i + 1 and not held:  # alone so far: it needs no name
-                    held, lead[i] = [texts[i]], True
-                else:
-                    names = block_names(held + texts[i:j])
-                    known = {n: c for c, n in reversed(list(enumerate(names[: len(held)].tolist())))}
-                    for r, n in enumerate(names[len(held) :].tolist(), i):
-                        if n not in known:
-                            known[n] = len(held)
-                            held.append(texts[r])
-                            lead[r] = True
-                        local[r] = known[n]
-                i = j
-            columns = {"_sc_local": pa.array(local), "_sc_lead": pa.array(lead)}
-            if keep_text:
-                hot = np.asarray(batch.column("_sc_parts")) > 1
-                columns[keep_text] = pa.array([t if x else None for t, x in zip(batch.column("_sc_norm").to_pylist(), lead & hot)], pa.string())
-            rows = common.carried(batch, out_schema, columns)
-            yield rows.filter(pa.array(lead)) if carry else rows
+        for batch in common.pieces(whole, text, PIECE):
+            n = batch.num_rows
+            keys = np.stack([np.asarray(batch.column(k)) for k in key], 1)
+            texts = [t.encode() for t in batch.column(text).to_pylist()]
+            local, lead = np.zeros(n, np.int32), np.zeros(n, bool)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), n]
+            for a, b in zip(cuts, cuts[1:]):
+                now = tuple(keys[a].tolist())
+                if now != held_key:
+                    held_key, held = now, []
+                names = block_names(held + texts[a:b]).tolist()
+                known = {name: c for c, name in enumerate(names[: len(held)])}
+                for r, name in enumerate(names[len(held) :], a):
+                    if name not in known:
+                        known[name] = len(held)
+                        held.append(texts[r])
+                        lead[r] = True
+                    local[r] = known[name]
+            yield finish(batch, local, lead)
+
+
+def _hot(texts: DataFrame, rows: int, n: int) -> DataFrame:
+    """(h, parts): hashes of the texts that a sample shows to be hot, fewer than 2 * HOT."""
+    some = texts.sample(min(1.0, SAMPLE / max(1, rows)), 7).select(_text_hash(F.col("norm")).alias("h"))
+    counts = some.groupBy("h").agg(F.count("*").alias("c"))
+    least = max(HOT_LEAST, min(rows, SAMPLE) // HOT)
+    found = counts.where(F.col("c") >= least).orderBy(F.desc("c"), "h").limit(2 * HOT).collect()
+    parts = [(r["h"], 1 + int(2 * n * r["c"] / max(1, min(rows, SAMPLE)))) for r in found]
+    return texts.sparkSession.createDataFrame(parts, "h long, parts int")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(text)
 
 
 def _prepared(df: DataFrame) -> DataFrame:
-    """``df`` with hash, salt and normalised text, moved by hash and salt and sorted."""
+    """``df`` (doc_id, text, ...) with norm, its bucket and salt, moved there and sorted.
+
+    Texts that are split have as many ``parts`` as they need; a salt is a row's id and
+    where it was read, so it splits rows that repeat an id too.
+    """
     spark = df.sparkSession
-    norm = df.withColumn("_sc_norm", common.normalised(F.col("text"))).withColumn("_sc_sha", F.sha2(F.col("_sc_norm").cast("binary"), 256))
-    counts = norm.groupBy("_sc_sha").agg(F.count("*").alias("_sc_n")).where(F.col("_sc_n") >= HOT_LEAST)
-    rows = F.greatest(F.lit(HOT_LEAST), F.lit(df.count() // HOT_PARTS))
-    hot = counts.where(F.col("_sc_n") > rows).select("_sc_sha", F.ceil(F.col("_sc_n") / rows).cast("int").alias("_sc_parts"))
-    hot = hot.orderBy(F.desc("_sc_parts"), "_sc_sha").limit(HOT_PARTS)  # no more can exist
-    hot = spark.createDataFrame(hot.collect(), hot.schema)
-    salted = norm.join(F.broadcast(hot), "_sc_sha", "left").withColumn("_sc_parts", F.coalesce("_sc_parts", F.lit(1)))
-    salted = salted.withColumn("_sc_salt", F.pmod(F.xxhash64("doc_id"), F.col("_sc_parts")).cast("int"))
     n = common.shuffle_partitions(spark)
-    return salted.repartition(n, "_sc_sha", "_sc_salt").sortWithinPartitions("_sc_sha", "_sc_salt", F.col("doc_id").asc_nulls_last())
+    rows, size = df.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    buckets = max(1, n, -(-(size or 0) // BUCKET))
+    norm = df.withColumn("norm", common.normalised(F.col("text")))
+    hot = _hot(norm.select("norm"), rows, n)
+    named = norm.withColumn("h", _text_hash(F.col("norm"))).join(F.broadcast(hot), "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    salted = named.withColumn("bucket", F.pmod("h", F.lit(buckets))).withColumn("salt", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.col("parts")).cast("int")).otherwise(0))
+    return salted.drop("h").repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("doc_id").asc_nulls_last())
 
 
-def _across(leaders: DataFrame, order: str) -> DataFrame:
-    """Leaders of salted parts, named again across the parts of their hash."""
-    schema = T.StructType([*leaders.schema.fields, *T._parse_datatype_string("_sc_class int, _sc_first boolean").fields])
-    into = T.StructType([f if f.name != "_sc_local" else T.StructField("_sc_part_local", T.IntegerType()) for f in leaders.schema.fields])
-    leaders = leaders.toDF(*into.names).repartition("_sc_sha").sortWithinPartitions("_sc_sha", F.col(order).asc_nulls_last())
-    out = T.StructType([*leaders.schema.fields, *T._parse_datatype_string("_sc_local int, _sc_lead boolean").fields])
-    arrow = _arrow(out)
-    del schema
-    return leaders.mapInArrow(lambda it: _name_stream(it, arrow, ["_sc_sha"], None, False), out)
+def _across(leaders: DataFrame) -> DataFrame:
+    """Leaders (bucket, salt, local, doc_id, norm) of salted texts, named again without the salt.
 
+    Returns bucket, salt, local with ``class`` and whether the leader leads that.
+    """
+    ordered = leaders.select("bucket", "salt", "local", "doc_id", "norm").repartition("bucket").sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_last(), "salt")
 
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def finish(batch, local, lead):
+        return pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("salt"), batch.column("local"), pa.array(local), pa.array(lead)], ["bucket", "salt", "local", "class", "first"])
 
-    return to_arrow_schema(schema)
+    return ordered.mapInArrow(lambda it: _name_stream(it, ["bucket"], "norm", finish), "bucket long, salt int, local int, class int, first boolean")
 
 
 def exact_classes(df: DataFrame) -> DataFrame:
@@ -137,41 +150,43 @@ def exact_classes(df: DataFrame) -> DataFrame:
 
     Returns doc_id, keep_id, group_size, kept, text_sha256.
     """
-    slim = df.select("doc_id", "text")
-    ready = _prepared(slim).select("doc_id", "_sc_norm", "_sc_sha", "_sc_parts", "_sc_salt")
-    out = T._parse_datatype_string("doc_id long, _sc_sha string, _sc_parts int, _sc_salt int, _sc_local int, _sc_lead boolean, _sc_text string")
-    out["doc_id"].dataType = slim.schema["doc_id"].dataType
-    arrow = _arrow(out)
-    named = common.written(ready.mapInArrow(lambda it: _name_stream(it, arrow, ["_sc_sha", "_sc_salt"], "_sc_text", False), out), "exact")
-    part = ["_sc_sha", "_sc_salt", "_sc_local"]
+    ready = _prepared(df.select("doc_id", "text")).select("doc_id", "norm", "bucket", "salt", "parts", F.sha2(F.col("norm").cast("binary"), 256).alias("sha"))
+    out = T.StructType([ready.schema["doc_id"], *T._parse_datatype_string("bucket long, salt int, parts int, sha string, local int, lead boolean, norm string").fields])
+    arrow = common.arrow_schema(out)
+
+    def finish(batch, local, lead):
+        again = lead & (np.asarray(batch.column("parts")) > 1)  # only these are named again, and need their text
+        texts = pa.array([batch.column("norm")[k].as_py() if x else None for k, x in enumerate(again.tolist())], pa.string())
+        return common.carried(batch, arrow, {"local": pa.array(local), "lead": pa.array(lead), "norm": texts})
+
+    named = common.written(ready.mapInArrow(lambda it: _name_stream(it, ["bucket", "salt"], "norm", finish), out), "exact")
+    part = ["bucket", "salt", "local"]
     sizes = named.groupBy(*part).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    hot_sizes = sizes.join(F.broadcast(named.where("_sc_lead and _sc_parts > 1").select(*part, F.col("_sc_text").alias("_sc_norm"))), part)
-    again = _across(hot_sizes, "keep_id")
-    total = again.groupBy("_sc_sha", "_sc_local").agg(F.min("keep_id").alias("_sc_keep"), F.sum("group_size").alias("_sc_size"))
-    total = again.select("_sc_sha", "_sc_salt", F.col("_sc_part_local"), "_sc_local").join(total, ["_sc_sha", "_sc_local"])
-    total = total.select("_sc_sha", "_sc_salt", F.col("_sc_part_local").alias("_sc_local"), "_sc_keep", "_sc_size")
-    merged = sizes.join(F.broadcast(total), part, "left").select(
-        *part, F.coalesce("_sc_keep", "keep_id").alias("keep_id"), F.coalesce("_sc_size", "group_size").alias("group_size")
-    )
-    return named.drop("_sc_text").join(merged, part).select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        (F.col("_sc_lead") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
-        F.col("_sc_sha").alias("text_sha256"),
-    )
+    again = _across(named.where("lead and parts > 1"))
+    # Names of hot texts only: fewer than 2 * HOT texts, and with the salts 4 * HOT + 2 * partitions.
+    hot = sizes.join(F.broadcast(again), part)
+    total = hot.groupBy("bucket", "class").agg(F.min("keep_id").alias("all_keep"), F.sum("group_size").alias("all_size"))
+    total = again.select(*part, "class", "first").join(total, ["bucket", "class"]).drop("class")
+    merged = sizes.join(F.broadcast(total), part, "left").select(*part, F.when(F.col("all_size").isNull(), F.col("keep_id")).otherwise(F.col("all_keep")).alias("keep_id"), F.coalesce("all_size", "group_size").alias("group_size"), F.coalesce("first", F.lit(True)).alias("first"))
+    return named.drop("norm").join(merged, part).select("doc_id", "keep_id", "group_size", (F.col("lead") & F.col("first")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
 def exact_dedup(df: DataFrame) -> DataFrame:
     """The rows of ``df`` (all its columns) that stay: one of each class of equal texts."""
-    ready = _prepared(df)
-    out = T.StructType([*ready.schema.fields, *T._parse_datatype_string("_sc_local int, _sc_lead boolean").fields])
-    arrow = _arrow(out)
-    leads = ready.mapInArrow(lambda it: _name_stream(it, arrow, ["_sc_sha", "_sc_salt"], None, True), out)
-    leads = common.written(leads.drop("_sc_lead"), "exact-leads")
-    hot = leads.where("_sc_parts > 1").select("_sc_sha", "_sc_salt", "_sc_local", "_sc_norm", "doc_id")
-    again = _across(hot, "doc_id").where("not _sc_lead").select("_sc_sha", "_sc_salt", F.col("_sc_part_local").alias("_sc_local"))
-    return leads.join(F.broadcast(again), ["_sc_sha", "_sc_salt", "_sc_local"], "left_anti").select(*[F.col(f"`{c}`") for c in df.columns])
+    columns = {"doc_id": "doc_id", "text": "text"}
+    inner = df.toDF(*[columns.get(c, f"c{k}") for k, c in enumerate(df.columns)])
+    ready = _prepared(inner)
+    out = T.StructType([*ready.schema.fields, *T._parse_datatype_string("local int").fields])
+    arrow = common.arrow_schema(out)
+
+    def finish(batch, local, lead):
+        return common.carried(batch, arrow, {"local": pa.array(local)}).filter(pa.array(lead))
+
+    leads = ready.mapInArrow(lambda it: _name_stream(it, ["bucket", "salt"], "norm", finish), out)
+    leads = common.written(leads.withColumn("norm", F.when(F.col("parts") > 1, F.col("norm"))), "exact-leads")
+    again = _across(leads.where("parts > 1")).where("not first").select("bucket", "salt", "local")
+    left = leads.join(F.broadcast(again), ["bucket", "salt", "local"], "left_anti")
+    return left.select(*inner.columns).toDF(*df.columns)
 
 
 def query(spark, sf_dir):

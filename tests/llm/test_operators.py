@@ -179,17 +179,36 @@ def test_exact_dedup(docs, empty, monkeypatch):
         assert left.columns == docs.columns and left.count() == len(groups)
 
     check()
-    monkeypatch.setattr(exact, "HOT_LEAST", 1)
-    monkeypatch.setattr(exact, "HOT_PARTS", 40)  # now every group of two is hot and salted
+    monkeypatch.setattr(exact, "HOT_LEAST", 1)  # now every text is hot and salted
+    check()
+    monkeypatch.setattr(exact, "_text_hash", lambda text: F.lit(5).cast("long"))  # naming alone tells texts apart
+    check()
+    monkeypatch.setattr(exact, "HOT_LEAST", 10**9)
     check()
     assert exact.exact_classes(empty).collect() == [] and exact.exact_dedup(empty).collect() == []
 
 
+def test_exact_dedup_carries_any_column(spark):
+    names = ["doc_id", "text", "norm", "bucket", "salt", "parts", "h", "local", "lead", "_sc_sha", "c1"]
+    rows = [(k, t, *range(9)) for k, t in [(3, "a b"), (1, "a  b"), (1, "a\tb"), (None, "a b"), (2, None), (None, "")]]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in names[2:]))
+    left = exact.exact_dedup(df)
+    assert left.columns == names and sorted(r["doc_id"] for r in left.collect()) == [1, 2]
+
+
+def test_exact_dedup_of_very_long_texts(spark):
+    long = prose(1_600_000, 60)
+    assert len(long) > exact.PIECE
+    rows = [(1, long), (2, long[:-1] + "!"), (3, long.replace(" ", "  ", 1)), (4, "x" + long)]
+    found = exact.exact_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in found.collect()) == [(1, 1, 2, True), (2, 2, 1, True), (3, 1, 2, False), (4, 4, 1, True)]
+
+
 def test_block_names_are_collision_free():
     r = random.Random(3)
-    texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 40))) for _ in range(3000)] + [b"", b"\0", b"\0\0"]
-    names = exact.block_names(texts).tolist()
-    assert len(set(zip(names, texts))) == len(set(names)) == len(set(texts))
+    texts = [bytes(r.choice(b"ab") for _ in range(r.randint(0, 60))) for _ in range(3000)] + [b"", b"\0", b"\0\0", bytes(8), bytes(9), b"ab" * 4000, b"ab" * 4000 + b"a"]
+    names = exact.block_names(texts + texts[:50]).tolist()
+    assert len(set(zip(names, texts + texts[:50]))) == len(set(names)) == len(set(texts))
 
 
 def test_language_on_held_out_rows(spark, empty):
