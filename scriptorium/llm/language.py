@@ -7,16 +7,20 @@ sets of languages (the likeliest one, two, ...); the set is chosen by likelihood
 penalty per language (half the logarithm of the number of words, times ``PENALTY``). The
 answer is the largest language of the set, the score its proportion.
 
-Models are fitted on a bounded sample of labelled rows, the ``SAMPLE`` of each language
-that a hash of their text puts first, whole texts; prediction covers every row and looks
-at text only. The models are one table of languages by ``CELLS`` n-gram cells, bounded by
-``MOST_LANGUAGES``, and travel with the closure.
+Sets grow as long as a document's penalised likelihood does, up to all languages.
+
+Models are fitted on a bounded sample of labelled rows, the ``SAMPLE`` different texts of
+each language that a hash puts first, whole texts, however often they are repeated;
+prediction covers every row and looks at text only. The models are one table of languages
+by n-gram cells that travels with the closure. It holds ``TABLE`` numbers at most: with
+very many languages each gets fewer cells, and none is left out.
 
 Defined cases: null text, or one without any letter, is ``und`` with score 0; rows with
-null lang, null text or a held-out id teach nothing; with no labelled rows everything is
-``und``; ties go to the language first in code point order; repeated rows are predicted
-alike; an empty table gives an empty result; other columns are carried by ``identify``
-except those named like its results.
+null lang, null text or a held-out id teach nothing; a language whose texts have no letters
+is not learned; with no labelled rows everything is ``und``; ties go to the language first
+in code point order; repeated rows are predicted alike, and teach once; an empty table
+gives an empty result; other columns are carried by ``identify`` except those named like
+its results.
 """
 
 from __future__ import annotations
@@ -31,16 +35,13 @@ from . import common
 
 #: Most labelled rows of each language that teach.
 SAMPLE = 2000
-#: Most languages that are learned, the commonest first.
-MOST_LANGUAGES = 256
-#: Cells that n-grams of each order are hashed into.
+#: Cells that n-grams of each order are hashed into, and numbers in the table of models.
 CELLS = 1 << 16
+TABLE = 48 << 20
 ORDERS = (2, 3, 4)
 #: Steps of expectation-maximisation, and the factor on the penalty.
 STEPS = 12
 PENALTY = 4.0
-#: Languages that a document can mix, most.
-SET = 3
 PIECE = 1 << 20
 
 
@@ -60,7 +61,7 @@ _SPLIT = np.zeros(256, bool)
 _SPLIT[:65] = _SPLIT[91:97] = _SPLIT[123:128] = True  # all of ASCII but its letters
 
 
-def _grams(flat: np.ndarray, order: int) -> np.ndarray:
+def _grams(flat: np.ndarray, order: int, cells: int) -> np.ndarray:
     """Hashed cell of the n-gram that ends at each byte."""
     cell = flat.astype(np.uint32)
     for k in range(1, order):
@@ -69,7 +70,7 @@ def _grams(flat: np.ndarray, order: int) -> np.ndarray:
         cell = cell + part * np.uint32(pow(0x9E3779B1, k, 1 << 32))
     cell *= np.uint32(0x85EBCA6B)
     cell ^= cell >> np.uint32(15)
-    return cell & np.uint32(CELLS - 1)
+    return cell & np.uint32(cells - 1)
 
 
 def words_of(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -90,17 +91,24 @@ def words_of(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return text, first, last, owner
 
 
+def cells_of(languages: int) -> int:
+    """Cells of each order, a power of two, so that the table stays within ``TABLE``."""
+    room = max(256, TABLE // (len(ORDERS) * max(1, languages)))
+    return min(CELLS, 1 << (room.bit_length() - 1))
+
+
 def fit(df: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """Languages and their log-probabilities, [orders * CELLS, languages], from labelled rows."""
+    """Languages and their log-probabilities, [orders * cells, languages], from labelled rows."""
     teach = df.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id"))).select("lang", "text", F.xxhash64("text").alias("_sc_h"))
-    langs = sorted(r["lang"] for r in teach.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
-    if not langs:
-        return [], np.zeros((len(ORDERS) * CELLS, 0), np.float32)
-    # The hash bound keeps about a few times the sample before any row is ranked.
-    share = {r["lang"]: r["n"] for r in teach.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("lang").isin(langs)).collect()}
-    bound = F.create_map(*[x for k, n in share.items() for x in (F.lit(k), F.lit(min(1.0, (2.0 * sample + 50) / n)))])
+    share = {r["lang"]: r["n"] for r in teach.groupBy("lang").agg(F.approx_count_distinct("_sc_h", 0.02).alias("n")).collect()}
+    if not share:
+        return [], np.zeros((0, 0), np.float32)
+    langs, cells = sorted(share), cells_of(len(share))
+    # The hash bound keeps about twice the sample of different texts before any is ranked.
+    bound = F.create_map(*[x for k, n in share.items() for x in (F.lit(k), F.lit(min(1.0, (2.0 * sample + 50) / max(1, n))))])
     near = teach.where(F.pmod("_sc_h", F.lit(1 << 30)) <= F.try_element_at(bound, F.col("lang")) * float(1 << 30))
-    ranked = near.withColumn("_sc_r", F.row_number().over(W.partitionBy("lang").orderBy("_sc_h", "text"))).where(F.col("_sc_r") <= sample)
+    once = near.groupBy("lang", "_sc_h").agg(F.min("text").alias("text"))
+    ranked = once.withColumn("_sc_r", F.row_number().over(W.partitionBy("lang").orderBy("_sc_h"))).where(F.col("_sc_r") <= sample)
     place = {lang: i for i, lang in enumerate(langs)}
     schema = pa.schema([("lang", pa.int32()), ("cell", pa.int32()), ("n", pa.int64())])
 
@@ -116,23 +124,25 @@ def fit(df: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
                 own = np.repeat(np.array([place[n] for n in names], np.int64), np.diff(starts))
                 spell, at = _spelled(text, first, last)
                 for k, order in enumerate(ORDERS):
-                    cells = _grams(spell, order)[at]
+                    found = _grams(spell, order, cells)[at]
                     for i in set(names):
-                        held = counts.setdefault(place[i], np.zeros(len(ORDERS) * CELLS, np.int64))
+                        held = counts.setdefault(place[i], np.zeros(len(ORDERS) * cells, np.int64))
                         chosen = own[_source(first, last)] == place[i]
-                        held[k * CELLS : (k + 1) * CELLS] += np.bincount(cells[chosen], minlength=CELLS)
+                        held[k * cells : (k + 1) * cells] += np.bincount(found[chosen], minlength=cells)
         for i, held in counts.items():
-            cells = np.flatnonzero(held)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cells), i, np.int32)), pa.array(cells.astype(np.int32)), pa.array(held[cells])], schema=schema)
+            some = np.flatnonzero(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), i, np.int32)), pa.array(some.astype(np.int32)), pa.array(held[some])], schema=schema)
 
     rows = ranked.select("lang", "text").mapInArrow(count, "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n"))
     table = rows.toArrow()
-    counts = np.zeros((len(langs), len(ORDERS) * CELLS))
+    counts = np.zeros((len(langs), len(ORDERS) * cells), np.float32)
     counts[table.column("lang").to_numpy(), table.column("cell").to_numpy()] = table.column("n").to_numpy()
-    logs = np.zeros((len(ORDERS) * CELLS, len(langs)), np.float32)
+    taught = np.flatnonzero(counts.any(1))  # one without a letter to its name would fit gibberish best
+    counts, langs = counts[taught], [langs[i] for i in taught]
+    logs = np.zeros((len(ORDERS) * cells, len(langs)), np.float32)
     for k in range(len(ORDERS)):
-        block = counts[:, k * CELLS : (k + 1) * CELLS]
-        logs[k * CELLS : (k + 1) * CELLS] = np.log((block + 0.1) / (block.sum(1, keepdims=True) + 0.1 * CELLS)).T
+        block = counts[:, k * cells : (k + 1) * cells]
+        logs[k * cells : (k + 1) * cells] = np.log((block + 0.1) / (block.sum(1, keepdims=True) + 0.1 * cells)).T
     return langs, logs
 
 
@@ -161,7 +171,8 @@ def word_scores(flat: np.ndarray, starts: np.ndarray, logs: np.ndarray) -> tuple
     size = last - first
     word_starts = np.cumsum(size) - size
     scores = np.zeros((len(first), n))
-    cells = [_grams(spell, order)[at] + np.uint32(k * CELLS) for k, order in enumerate(ORDERS)]
+    size_of = len(logs) // len(ORDERS)
+    cells = [_grams(spell, order, size_of)[at] + np.uint32(k * size_of) for k, order in enumerate(ORDERS)]
     for j in range(n):
         column = np.ascontiguousarray(logs[:, j])
         total = column[cells[0]]
@@ -171,43 +182,51 @@ def word_scores(flat: np.ndarray, starts: np.ndarray, logs: np.ndarray) -> tuple
     return scores, owner
 
 
-def mixtures(scores: np.ndarray, owner: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each document its largest language (-1 if it has no words) and that one's share."""
+def mixtures(scores: np.ndarray, owner: np.ndarray, n_docs: int) -> np.ndarray:
+    """[documents, languages]: the proportions of the chosen set (0 outside it, and all 0 for
+    a document without words)."""
     n = scores.shape[1]
-    best, share = np.full(n_docs, -1), np.zeros(n_docs)
+    result = np.zeros((n_docs, n))
     if not len(scores):
-        return best, share
+        return result
     docs, begins, counts = np.unique(owner, return_index=True, return_counts=True)
     top = scores.max(1, keepdims=True)
     like = np.exp(np.maximum(scores - top, -60.0))
-    row = np.repeat(np.arange(len(docs)), counts)
     single = np.add.reduceat(scores, begins, axis=0)
     base = np.add.reduceat(top[:, 0], begins)
 
-    def em(weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def em(weights: np.ndarray, like: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begins = np.cumsum(counts) - counts
+        row = np.repeat(np.arange(len(counts)), counts)
         for _ in range(STEPS):
             part = like * weights[row]
             part /= part.sum(1, keepdims=True)
             weights = np.add.reduceat(part, begins, axis=0) / counts[:, None]
             weights = np.where(weights < 1e-12, 0.0, weights)
-        return weights, base + np.add.reduceat(np.log(np.maximum((like * weights[row]).sum(1), 1e-300)), begins)
+        return weights, np.add.reduceat(np.log(np.maximum((like * weights[row]).sum(1), 1e-300)), begins)
 
-    everything, _ = em(np.full((len(docs), n), 1.0 / n))
+    everything, _ = em(np.full((len(docs), n), 1.0 / n), like, counts)
     penalty = PENALTY * 0.5 * np.log(np.maximum(counts, 2))
-    chosen = single.argmax(1)
-    value, weight = single.max(1), np.ones(len(docs))
+    value = single.max(1)
+    chosen = np.zeros((len(docs), n))
+    chosen[np.arange(len(docs)), single.argmax(1)] = 1.0
     order = np.argsort(-everything, axis=1, kind="stable")
-    for size in range(2, min(SET, n) + 1):
-        allowed = np.zeros((len(docs), n))
-        np.put_along_axis(allowed, order[:, :size], 1.0 / size, axis=1)
-        weights, found = em(allowed)
-        found = found - penalty * (size - 1)
-        better = found > value
-        value = np.where(better, found, value)
-        chosen = np.where(better, weights.argmax(1), chosen)
-        weight = np.where(better, weights.max(1), weight)
-    best[docs], share[docs] = chosen, weight
-    return best, share
+    active = np.arange(len(docs))  # documents whose set may still grow
+    for size in range(2, n + 1):
+        rows = slice(None) if len(active) == len(docs) else np.isin(np.repeat(np.arange(len(docs)), counts), active)
+        allowed = np.zeros((len(active), n))
+        np.put_along_axis(allowed, order[active, :size], 1.0 / size, axis=1)
+        weights, found = em(allowed, like[rows], counts[active])
+        found = base[active] + found - penalty[active] * (size - 1)
+        better = found > value[active]
+        value[active[better]] = found[better]
+        chosen[active[better]] = weights[better]
+        if size > 2:  # sets of two and of three are tried for all
+            active = active[better]
+        if not len(active):
+            break
+    result[docs] = chosen
+    return result
 
 
 def has_letters(texts: list) -> np.ndarray:
@@ -215,26 +234,31 @@ def has_letters(texts: list) -> np.ndarray:
 
 
 def identify(df: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
-    """All columns of ``df`` with lang_pred and score."""
+    """All columns of ``df`` with lang_pred, score and mixture: the languages of a document
+    with their shares, the largest first."""
     langs, logs = model
-    base = df.drop("lang_pred", "score")
-    schema = common.schema_of(base, "lang_pred string, score double")
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    arrow = to_arrow_schema(schema)
-    names = np.array([*langs, "und"], object)
+    base = df.drop("lang_pred", "score", "mixture")
+    schema = common.schema_of(base, "lang_pred string, score double, mixture array<struct<lang: string, share: double>>")
+    arrow = common.arrow_schema(schema)
 
     def run(batches):
         for whole in batches:
             for batch in common.pieces(whole, "text", PIECE):
                 flat, starts = common.text_bytes(batch.column("text"))
-                if langs:
-                    best, share = mixtures(*word_scores(flat, starts, logs), batch.num_rows)
-                else:
-                    best, share = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
-                none = ~has_letters(batch.column("text").to_pylist()) | (best < 0)
-                best, share = np.where(none, -1, best), np.where(none, 0.0, np.clip(share, 0.0, 1.0))
-                yield common.carried(batch, arrow, {"lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(share)})
+                found = mixtures(*word_scores(flat, starts, logs), batch.num_rows) if langs else np.zeros((batch.num_rows, 0))
+                found[~has_letters(batch.column("text").to_pylist())] = 0.0
+                own, which = np.nonzero(found)
+                by = np.lexsort((which, -found[own, which], own))
+                own, which = own[by], which[by]
+                ends = np.searchsorted(own, np.arange(batch.num_rows + 1))
+                names = np.array([*langs, "und"], object)
+                share = np.clip(found[own, which], 0.0, 1.0)
+                some = np.diff(ends) > 0
+                best, score = np.full(batch.num_rows, len(langs)), np.zeros(batch.num_rows)
+                best[some], score[some] = which[ends[:-1][some]], share[ends[:-1][some]]
+                parts = pa.StructArray.from_arrays([pa.array(names[which].tolist(), pa.string()), pa.array(share)], fields=list(arrow.field("mixture").type.value_type))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts, type=arrow.field("mixture").type)
+                yield common.carried(batch, arrow, {"lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score), "mixture": lists})
 
     return base.mapInArrow(run, schema)
 

@@ -216,10 +216,32 @@ def test_language_on_held_out_rows(spark, empty):
     model = language.fit(docs)
     found = language.identify(docs.withColumn("held", language.held_out(F.col("doc_id"))), model).where("held")
     assert found.where("lang = lang_pred").count() / found.count() > 0.97
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "12 !"), (4, "the and of")], "doc_id long, text string")
-    got = {r["doc_id"]: r for r in language.identify(odd, model).collect()}
-    assert [got[k]["lang_pred"] for k in (1, 2, 3)] == ["und"] * 3 and got[4]["lang_pred"] != "und"
+    odd = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "12 !", 5), (4, "the and of", 5), (4, "the and of", 5)], "doc_id long, text string, score long")
+    got = [tuple(r) for r in language.identify(odd, model).orderBy("doc_id").collect()]
+    assert [g[2:] for g in got[:3]] == [("und", 0.0, [])] * 3 and got[3][2] != "und" and got[3] == got[4]
     assert language.identify(odd, language.fit(empty)).where("lang_pred <> 'und'").count() == 0
+    assert language.identify(empty, model).collect() == []
+    long = " ".join(r["text"] for r in docs.where("lang = 'fr'").limit(400).collect()) * 4
+    assert len(long) > language.PIECE and language.identify(spark.createDataFrame([(1, long)], "doc_id long, text string"), model).first()["lang_pred"] == "fr"
+
+
+def test_language_learns_from_repeated_texts(spark):
+    """Copies share a hash: however many there are, their text teaches once, and always."""
+    rows = [(k, "xaba yeti zoru wimo " * 5, "zz") for k in range(400)] + [(1000 + k, prose(30, k), "en") for k in range(400)] + [(2000, "...", "none")]
+    model = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=3)
+    assert model[0] == ["en", "zz"]
+    found = language.identify(spark.createDataFrame([(1, "wimo zoru"), (2, prose(40, 9000))], "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in found] == ["zz", "en"]
+
+
+def test_language_mixtures():
+    """Four languages of one document come out with their shares; cells shrink with languages."""
+    sure = np.log(np.full((100, 6), 0.001))
+    for i, (a, b) in enumerate([(0, 45), (45, 65), (65, 85), (85, 100)]):
+        sure[a:b, i] = 0.0
+    found = language.mixtures(sure, np.repeat([1], 100), 3)
+    assert np.abs(found[1] - [0.45, 0.2, 0.2, 0.15, 0, 0]).max() < 0.02 and not found[0].any() and not found[2].any()
+    assert language.cells_of(4) == language.CELLS and language.cells_of(5000) * 5000 * 3 <= language.TABLE
 
 
 PAGE = (
