@@ -129,7 +129,9 @@ def _prepared(df: DataFrame) -> DataFrame:
     hot = _hot(norm.select("norm"), rows, n)
     named = norm.withColumn("h", _text_hash(F.col("norm"))).join(F.broadcast(hot), "h", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     salted = named.withColumn("bucket", F.pmod("h", F.lit(buckets))).withColumn("salt", F.when(F.col("parts") > 1, F.pmod(F.xxhash64("doc_id", F.spark_partition_id()), F.col("parts")).cast("int")).otherwise(0))
-    return salted.drop("h").repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", F.col("doc_id").asc_nulls_last())
+    # Buckets are dealt out one after the other, which is more even than their hashes would be.
+    dealt = salted.drop("h").repartitionById(n, F.pmod(F.col("bucket") + F.col("salt") * 7919, F.lit(n)).cast("int"))
+    return dealt.sortWithinPartitions("bucket", "salt", F.col("doc_id").asc_nulls_last())
 
 
 def _across(leaders: DataFrame) -> DataFrame:
