@@ -1,8 +1,11 @@
 """The operators against brute force, libraries and planted cases on small tables."""
 
+import collections
 import hashlib
+import html
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +13,7 @@ import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import counting, digest, exact, language, mincut, mixing, neardup, replay, suffix, warc
+from scriptorium.llm import counting, digest, exact, language, layouts, mincut, mixing, neardup, replay, suffix, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, `_sc` string"
 rnd = random.Random(7)
@@ -253,9 +256,63 @@ PAGE = (
 
 def test_html_extraction(spark):
     assert mincut.main_text(PAGE) == "T & U Hello big world. Two three."
-    rows = spark.createDataFrame([(1, "u", PAGE), (2, None, None), (3, "u", ""), (4, "u", "<p>")], "page_id long, url string, html string")
-    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in mincut.extract(rows).collect()}
-    assert got == {1: ("T & U Hello big world. Two three.", 33), 2: ("", 0), 3: ("", 0), 4: ("", 0)}
+    long = "<nav><a>Home</a></nav><article>" + "".join(f"<p>{prose(200, k)}.</p>" for k in range(4000)) + "</article>"
+    assert len(long) > mincut.PIECE
+    rows = [(1, "u", PAGE, 7), (2, None, None, 7), (3, "u", "", 7), (4, "u", "<p>", 7), (1, "u", PAGE, 7), (5, "u", long, 7)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, n_chars long")
+    found = mincut.extract(df).select("page_id", "text", "n_chars").collect()
+    got = {r["page_id"]: (r["text"], r["n_chars"]) for r in found}
+    want = " ".join(prose(200, k) + "." for k in range(4000))
+    assert len(found) == 6 and got == {1: ("T & U Hello big world. Two three.", 33), 2: ("", 0), 3: ("", 0), 4: ("", 0), 5: (want, len(want))}
+    assert mincut.extract(df.limit(0)).collect() == []
+
+
+def word_f1(got: str, want: str) -> float:
+    a, b = collections.Counter(got.split()), collections.Counter(want.split())
+    return 2 * sum((a & b).values()) / max(1, sum(a.values()) + sum(b.values()))
+
+
+def test_extraction_of_labelled_pages():
+    """Pages of the generator that the classifier was not fitted on."""
+    scores = []
+    for seed in range(50_000, 50_400):
+        page, labels = layouts.page(seed)
+        assert [b.text for b in mincut.blocks_of(page)] == [t for t, _ in labels]
+        scores.append(word_f1(mincut.main_text(page), " ".join(t for t, content in labels if content)))
+    assert sum(scores) / len(scores) > 0.98 and sum(s > 0.9 for s in scores) > 0.97 * len(scores)
+
+
+def test_weights_are_the_fit():
+    assert np.abs(np.array(layouts.fit()) - mincut.WEIGHTS).max() < 0.02
+
+
+def test_extraction_of_the_pages_table(spark):
+    """These pages keep their text in one article."""
+    rows = mincut.extract(spark.read.parquet("/root/testdata/sf0.01/pages.parquet")).collect()
+    for r in rows:
+        inner = re.search(r"<article>(.*)</article>", r["html"], re.S)
+        if inner:
+            text = re.sub(r"\s+", " ", html.unescape(re.sub(r"<[^>]+>", " ", inner[1]))).strip()
+            assert re.sub(r"\s", "", r["text"]) == re.sub(r"\s", "", text)
+
+
+TWO = "<p>" + prose(20, 70) + ".</p><p>" + prose(20, 71) + ".</p>"
+
+
+@pytest.mark.parametrize("opening", ['div class="review-body"', 'div class="legal-story"', 'div class="site has_sidebar with-ads ad-free"', "div", 'section id="notice"'])
+def test_articles_under_odd_names(opening):
+    page = f"<body><div><a href=/>Home</a> <a href=/n>News</a></div><div>Home News Sport</div><{opening}>{TWO}</{opening.split()[0]}><div>Copyright 2024 Some Site</div></body>"
+    assert mincut.main_text(page) == f"{prose(20, 70)}. {prose(20, 71)}."
+
+
+@pytest.mark.parametrize("part", ['<a "', '<a ">"', "</i>", "<b></i>", "<div></i>x<p>", "<li>", "<body>", "<p><b>"])
+def test_hostile_pages_take_linear_time(part):
+    def seconds(n):
+        began = time.process_time()
+        mincut.main_text("<b>" * n + part * n)
+        return time.process_time() - began
+
+    assert seconds(8000) < 10 * max(0.1, seconds(2000))
 
 
 @pytest.mark.parametrize("inside", ["<body>", "", "<body class=x>", "<link rel=a><style>p{}</style><body>", "<noscript><body>", "<head>"])
