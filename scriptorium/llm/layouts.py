@@ -166,6 +166,9 @@ def page(seed: int) -> tuple[str, list[tuple[str, bool]]]:
         p.tag(f"<{wrap}>")
     before = [f for f, share in ((_head, 0.6), (_menu, 0.8), (_notice, 0.4), (_menu, 0.2), (_side, 0.15)) if r.random() < share]
     after = [f for f, share in ((_side, 0.4), (_comments, 0.4), (_form, 0.2), (_notice, 0.15), (_foot, 0.8)) if r.random() < share]
+    if r.random() < 0.1:  # a bare page
+        p.block(r.choice(["p", "p", "div"]), _sentences(r, 1, 2), True)
+        return "".join(p.html), p.labels
     for part in [*before, _article, *after]:
         part(p)
     if wrap:

@@ -143,8 +143,9 @@ def blocks_of(html: str) -> list[Block]:
     """The text blocks of a page in order, with what is around each."""
     blocks: list[Block] = []
     # An open element: name, serial, what it and those around it say, the outermost element
-    # that a name marks, hidden, is a link, container of its blocks, is a block.
-    stack: list[tuple] = [("#root", 0, 0, 0, False, False, 0, True)]
+    # that a name marks, hidden, is a link, the innermost block with its number and its
+    # container's, is a block.
+    stack: list[tuple] = [("#root", 0, 0, 0, False, False, ("#root", 0, 0), True)]
     opened: Counter = Counter()
     text: list[str] = []
     linked = serial = 0
@@ -157,9 +158,8 @@ def blocks_of(html: str) -> list[Block]:
             joined = _SPACE.sub(" ", unescape("".join(text))).strip()
             if joined:
                 top = stack[-1]
-                box = next(e for e in reversed(stack) if e[7])
                 steps = last_depth + depth - 2 * low
-                blocks.append(Block(joined, min(1.0, linked / len(joined)), box[0], box[6], steps, top[2], top[3]))
+                blocks.append(Block(joined, min(1.0, linked / len(joined)), top[6][0], top[6][2], steps, top[2], top[3]))
                 low = last_depth = depth
             text.clear()
         linked = 0
@@ -257,8 +257,8 @@ def blocks_of(html: str) -> list[Block]:
             at = found.end() if found else end
             continue
         if not attributes.rstrip().endswith("/") or is_block or name == "a":
-            box = next((e[1] for e in reversed(stack) if e[7]), 0) if is_block else top[6]
-            stack.append((name, serial, top[2] | says, mark, top[4] or hidden or name in _HIDDEN, top[5] or name == "a", box, is_block))
+            inner = (name, serial, top[6][1]) if is_block else top[6]
+            stack.append((name, serial, top[2] | says, mark, top[4] or hidden or name in _HIDDEN, top[5] or name == "a", inner, is_block))
             opened[name] += 1
             depth += is_block
     flush()
@@ -299,7 +299,7 @@ def features(blocks: list[Block]) -> list[list[float]]:
     return found
 
 
-WEIGHTS = [-6.51, -7.05, -4.17, 2.36, -8.45, -2.55, 2.35, 4.29, 2.55, 1.84, -3.41, -4.02, 4.82, -0.9, -1.11, 5.07, 6.36, 0.89, -4.3, 4.22, -1.25, 0.0, -3.91, 0.0]
+WEIGHTS = [-5.3, -7.11, -4.14, 2.35, -8.0, -2.91, 2.22, 2.94, 3.09, 1.56, -3.2, -3.74, 5.27, -0.8, -1.09, 5.04, 5.89, 0.74, -4.37, 2.94, -1.75, 0.0, -3.71, 4.7]
 
 
 def costs(found: list[float], weights: list[float] | None = None) -> tuple[float, float]:
