@@ -107,6 +107,14 @@ def pieces(batch: pa.RecordBatch, column: str, most_bytes: int = 4 << 20):
             yield batch.slice(a, b - a)
 
 
+def numbered(df: DataFrame, *keep: str) -> DataFrame:
+    """``df`` with its columns numbered, but for those in ``keep``, so that no name can clash.
+
+    ``result.select(*inner.columns).toDF(*df.columns)`` gives them back.
+    """
+    return df.toDF(*[c if c in keep else f"c{k}" for k, c in enumerate(df.columns)])
+
+
 def schema_of(df: DataFrame, more: str) -> T.StructType:
     """The schema of ``df`` with the columns of a DDL string added."""
     return T.StructType([*df.schema.fields, *T._parse_datatype_string(more).fields])

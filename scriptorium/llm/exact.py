@@ -175,8 +175,7 @@ def exact_classes(df: DataFrame) -> DataFrame:
 
 def exact_dedup(df: DataFrame) -> DataFrame:
     """The rows of ``df`` (all its columns) that stay: one of each class of equal texts."""
-    columns = {"doc_id": "doc_id", "text": "text"}
-    inner = df.toDF(*[columns.get(c, f"c{k}") for k, c in enumerate(df.columns)])
+    inner = common.numbered(df, "doc_id", "text")
     ready = _prepared(inner)
     out = T.StructType([*ready.schema.fields, *T._parse_datatype_string("local int").fields])
     arrow = common.arrow_schema(out)

@@ -7,10 +7,13 @@ document, and the document is taken once for each. The order is by size, so what
 crossing takes differs little from what it might have taken, and the words taken come
 within about one document of the target.
 
-Scale: only sizes are shuffled, never texts. A source is cut into cells (two leading
-digits of the size, and a hash bucket whose number grows with the rows), cells are counted,
-the counts are summed along the source, and rows are ranked inside their cell only; a
-source or one size of it that holds a third of all rows is thereby many cells.
+Scale: only sizes are shuffled, never texts. A source is cut into cells: by two leading
+digits of the size, and where these hold more than ``CELL_ROWS`` rows, by a hash into cells
+of about so many. Cells are counted, the counts are summed along the source, and rows are
+ranked inside their cell only; a source or one size of it that holds a third of all rows is
+thereby many cells. A source has one cell for each ``CELL_ROWS`` rows and a few hundred
+more, which is what the sums along it sort; the list of cut sizes that is broadcast has at
+most one row for each ``CELL_ROWS`` rows of the table. Targets are one sort of the sources.
 
 Defined cases: null text has size 0; a null source is a source of its own, last; empty
 sources get target 0; repeated rows and ids are rows of their own (their order does not
@@ -76,14 +79,15 @@ def mix(df: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix") ->
 
 
 def _mixed(slim: DataFrame, n: int, weights, most: int, seed: str) -> DataFrame:
-    buckets = max(1, -(-n // CELL_ROWS))
     digits = F.col("size").cast("string")
-    cells = slim.select(
-        "*",
-        (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).alias("_sc_bin"),
-        F.pmod(_u32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(buckets)).cast("int").alias("_sc_bucket"),
-    )
+    cells = slim.select("*", (F.length(digits) * 100 + F.substring(digits, 1, 2).cast("int")).alias("_sc_bin"))
     cells = common.written(cells, "mix-cells")
+    bucket = F.lit(0)
+    if n > CELL_ROWS:
+        large = cells.groupBy("source", "_sc_bin").agg(F.ceil(F.count("*") / CELL_ROWS).alias("parts")).where("parts > 1").alias("l")
+        cells = cells.alias("c").join(F.broadcast(large), F.col("c.source").eqNullSafe(F.col("l.source")) & (F.col("c._sc_bin") == F.col("l._sc_bin")), "left").select("c.*", F.coalesce("l.parts", F.lit(1)).alias("_sc_parts"))
+        bucket = F.pmod(_u32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.col("_sc_parts")).cast("int")
+    cells = cells.withColumn("_sc_bucket", bucket)
     cell = ["_sc_bin", "_sc_bucket"]
     counts = cells.groupBy("source", *cell).agg(F.count("*").alias("_sc_n"), F.sum("size").alias("_sc_size"))
     before = W.partitionBy("source").orderBy(*cell).rowsBetween(W.unboundedPreceding, -1)
@@ -109,15 +113,16 @@ def mixed_rows(df: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mi
     Rows alike in doc_id, source and size share what they are taken together.
     """
     same = ["doc_id", "source", "_sc_words"]
-    taken = mix(df, weights, most, seed).withColumnRenamed("size", "_sc_words").groupBy(*same).agg(F.sum("copies").alias("_sc_copies"), F.count("*").alias("_sc_alike"))
-    rows = df.withColumn("_sc_words", words(F.col("text"))).alias("d")
+    inner = common.numbered(df, "doc_id", "text", "source")
+    taken = mix(inner, weights, most, seed).withColumnRenamed("size", "_sc_words").groupBy(*same).agg(F.sum("copies").alias("_sc_copies"), F.count("*").alias("_sc_alike"))
+    rows = inner.withColumn("_sc_words", words(F.col("text"))).alias("d")
     on = [F.col(f"d.{c}").eqNullSafe(F.col(f"t.{c}")) for c in same]
     joined = rows.join(taken.where("_sc_copies > 0").alias("t"), on[0] & on[1] & on[2]).select("d.*", "_sc_copies", "_sc_alike")
     k = F.row_number().over(W.partitionBy(*same).orderBy("doc_id"))
     numbered = joined.withColumn("_sc_k", k)
     share = F.floor(F.col("_sc_copies") * F.col("_sc_k") / F.col("_sc_alike")) - F.floor(F.col("_sc_copies") * (F.col("_sc_k") - 1) / F.col("_sc_alike"))
     often = numbered.withColumn("_sc_often", share.cast("int")).where("_sc_often > 0")
-    return often.withColumn("_sc_copy", F.explode(F.sequence(F.lit(1), F.col("_sc_often")))).select(*[F.col(f"`{c}`") for c in df.columns])
+    return often.withColumn("_sc_copy", F.explode(F.sequence(F.lit(1), F.col("_sc_often")))).select(*inner.columns).toDF(*df.columns)
 
 
 def query(spark, sf_dir):
@@ -142,10 +147,10 @@ WITH d AS (
 ), s3 AS (SELECT *, (total - full_before)::DOUBLE / rest::DOUBLE AS share FROM s2),
 lv AS (SELECT arg_min(share, r) AS level FROM s3 WHERE share * w <= source_size * 3),
 s AS (SELECT source, source_size, coalesce(least(level * w, (source_size * 3)::DOUBLE), 0.0) AS target FROM s3, lv),
-n AS (SELECT greatest(1, ceil(count(*) / {CELL_ROWS}.0))::BIGINT AS buckets FROM d),
+b AS (SELECT *, length(size::VARCHAR) * 100 + left(size::VARCHAR, 2)::INT AS bin FROM d),
 c AS (
-  SELECT d.*, length(size::VARCHAR) * 100 + left(size::VARCHAR, 2)::INT AS bin,
-    ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % buckets AS bucket FROM d, n
+  SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT
+    % ceil(count(*) OVER (PARTITION BY source, bin) / {CELL_ROWS}.0)::BIGINT AS bucket FROM b
 ), k AS (
   SELECT c.doc_id, c.source, c.size, row_number() OVER (PARTITION BY c.source ORDER BY bin, bucket, size, doc_id NULLS LAST) AS place FROM c
 ), t AS (

@@ -279,9 +279,10 @@ def _classes(df: DataFrame) -> DataFrame:
 def dedup(df: DataFrame) -> DataFrame:
     """The rows of ``df`` (all its columns) that stay: one document of each class."""
     stay = _classes(df).where("doc_id <=> class_id").groupBy("root").agg(F.min("id").alias("_sc_name"), F.first("doc_id").alias("_sc_id")).drop("root")
-    named = df.withColumn("_sc_name", text_name(F.col("text")))
+    inner = common.numbered(df, "doc_id", "text")
+    named = inner.withColumn("_sc_name", text_name(F.col("text")))
     kept = named.join(stay, "_sc_name").where(F.col("doc_id").eqNullSafe(F.col("_sc_id"))).dropDuplicates(["_sc_name"])
-    return kept.select(*[F.col(f"`{c}`") for c in df.columns])
+    return kept.select(*inner.columns).toDF(*df.columns)
 
 
 def query(spark, sf_dir):

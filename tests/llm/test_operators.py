@@ -192,9 +192,12 @@ def test_exact_dedup(docs, empty, monkeypatch):
 
 
 def test_exact_dedup_carries_any_column(spark):
-    names = ["doc_id", "text", "norm", "bucket", "salt", "parts", "h", "local", "lead", "_sc_sha", "c1"]
+    names = ["doc_id", "text", "norm", "bucket", "salt", "parts", "h", "local", "lead", "_sc_words", "c1"]
     rows = [(k, t, *range(9)) for k, t in [(3, "a b"), (1, "a  b"), (1, "a\tb"), (None, "a b"), (2, None), (None, "")]]
     df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` long" for c in names[2:]))
+    assert mixing.mixed_rows(df.withColumn("source", F.lit("a"))).columns == [*names, "source"]
+    near = neardup.dedup(df.withColumn("_sc_name", F.lit("x")))
+    assert near.columns == [*names, "_sc_name"] and near.count() == 2
     left = exact.exact_dedup(df)
     assert left.columns == names and sorted(r["doc_id"] for r in left.collect()) == [1, 2]
 
@@ -353,6 +356,18 @@ def test_mixing(docs, empty):
     assert mixing.mix(empty).collect() == []
 
 
+def test_mixing_is_its_sql_with_many_cells(spark, monkeypatch):
+    """As if sizes of a source were cut from 20 rows on."""
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(mixing, "CELL_ROWS", 20)
+    path = "/root/testdata/sf0.01/documents.parquet"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}'")
+    want = con.execute(f"SELECT doc_id, size, source_size, target, taken FROM ({mixing.oracle()})").fetchall()
+    found = mixing.query(spark, "/root/testdata/sf0.01").select("doc_id", "size", "source_size", "target", "taken").collect()
+    assert sorted(map(tuple, found)) == sorted(want)
+
+
 def test_fingerprints(docs, empty, spark):
     rows = sorted(texts_of(docs), key=lambda r: (-(r[0] if r[0] is not None else -(1 << 63)), r[1]))
     want = []
