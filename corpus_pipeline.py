@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet
 and read again as the next stage's docs. All but the last return the columns of documents.
 SQL cannot express language identification, near-duplicate search and encoding, so the
-whole has no SQL; the tests hold it against its stages' brute-force versions.
+whole has no SQL; tests/llm holds it against a brute-force version of all stages.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Texts that are null, empty or without letters have none and go.
     """
-    found = language.identify(docs, language.fit(docs))
+    inner = common.numbered(docs, "doc_id", "text", "lang")
+    found = language.identify(inner, language.fit(inner))
     kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MAIN_LANGUAGE))
-    return kept.withColumn("lang", F.col("lang_pred")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return kept.withColumn("lang", F.col("lang_pred")).select(*inner.columns).toDF(*docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
