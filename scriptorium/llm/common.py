@@ -6,6 +6,7 @@ Intermediate results that cut lineage are written as Parquet below the folder th
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -22,9 +23,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the session names none."""
+    """The cluster's shared folder. Where none is named, a temporary one, but only if all tasks
+    run in the driver: a cluster's machines would not share it."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or "cluster" in spark.sparkContext.master:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -52,6 +56,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def relax() -> None:
+    """At the end of a task: what Python and Arrow hold unused goes back to the machine, as
+    workers are kept for later tasks of other operators."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def forget(*tables: DataFrame) -> None:
     """Delete tables made by ``written`` that nothing lazy refers to any more."""
     for df in tables:

@@ -99,6 +99,7 @@ def _name_stream(batches, key: list[str], text: str, finish):
                         lead[r] = True
                     local[r] = known[name]
             yield finish(batch, local, lead)
+    common.relax()
 
 
 def _hot(texts: DataFrame, rows: int, n: int) -> DataFrame:

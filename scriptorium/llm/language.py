@@ -259,6 +259,7 @@ def identify(df: DataFrame, model: tuple[list[str], np.ndarray]) -> DataFrame:
                 parts = pa.StructArray.from_arrays([pa.array(names[which].tolist(), pa.string()), pa.array(share)], fields=list(arrow.field("mixture").type.value_type))
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), parts, type=arrow.field("mixture").type)
                 yield common.carried(batch, arrow, {"lang_pred": pa.array(names[best].tolist(), pa.string()), "score": pa.array(score), "mixture": lists})
+        common.relax()
 
     return base.mapInArrow(run, schema)
 

@@ -206,6 +206,7 @@ def _sketch(df: DataFrame) -> DataFrame:
                 ends = np.append(0, np.cumsum(kept.sum(1))).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[kept].view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("id"), bands], schema=arrow)
+        common.relax()
 
     return rows.mapInArrow(run, schema)
 
@@ -233,6 +234,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                     keep.append(similarity(found[cut[k] : cut[k + 1]], held_shingles) >= SIMILARITY)
                 rows = batch.filter(pa.array(keep, pa.bool_()))
                 yield pa.RecordBatch.from_arrays([rows.column("a"), rows.column("b")], schema=arrow)
+        common.relax()
 
     return both.mapInArrow(run, schema)
 

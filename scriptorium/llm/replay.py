@@ -8,7 +8,7 @@ their pre-tokens.
 
 The corpus of a replay is a batch of one task and not the whole table: pre-tokens are
 encoded independently of one another, so the ids are the same, and neither the texts nor
-the pre-tokens (about as many bytes as the texts) are shuffled. A worker keeps the ids of
+the pre-tokens (about as many bytes as the texts) are shuffled. A task keeps the ids of
 pre-tokens it has met for its later batches; above ``KEPT`` only those of the last batch,
 which are the frequent ones, stay.
 
@@ -36,10 +36,10 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Pre-tokens that a worker keeps.
-KEPT = 400_000
+#: Pre-tokens that a task keeps.
+KEPT = 250_000
 #: Bytes of text that are encoded together.
-PIECE = 8 << 20
+PIECE = 4 << 20
 #: Merges of a rank that are applied one by one; of more, all at once.
 FEW = 24
 
@@ -289,6 +289,11 @@ class Vocabulary:
                         if q not in index:
                             heapq.heappush(heap, q)
 
+    def rest(self) -> None:
+        """Nothing is kept beyond a task."""
+        self.kept, self.words = {}, {}
+        common.relax()
+
     # -- documents -----------------------------------------------------------------------
 
     def _units(self, text: str) -> list[str]:
@@ -355,6 +360,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     """The vocabulary of a file, loaded once in each worker."""
     if (path, pattern) not in _LOADED:
         _LOADED[path, pattern] = Vocabulary(path, pattern)
+        common.relax()
     return _LOADED[path, pattern]
 
 
@@ -383,6 +389,7 @@ def encode_digests(df: DataFrame, path: str | None = None, pattern: str | None =
                     pa.array([hashlib.sha256(vocab.decode_decimal(s)).hexdigest() for s in ids], pa.string()),
                 ]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        vocab.rest()
 
     schema = T.StructType([df.schema["doc_id"], *T._parse_datatype_string(RESULT).fields])
     return df.select("doc_id", "text").mapInArrow(run, schema)
@@ -405,6 +412,7 @@ def encode_texts(df: DataFrame, path: str | None = None, pattern: str | None = N
                 decoded = [vocab.decode(x).decode("utf-8", "replace") for x in ids]
                 columns = {"ids": pa.array(ids, arrow.field("ids").type), "n_tokens": pa.array(list(map(len, ids)), pa.int64()), "decoded": pa.array(decoded, pa.string())}
                 yield common.carried(batch, arrow, columns)
+        vocab.rest()
 
     return base.mapInArrow(run, schema)
 
@@ -429,6 +437,7 @@ def encode_rows(df: DataFrame, path: str | None = None, pattern: str | None = No
                     "round_trip": pa.array([vocab.decode_decimal(s) == t.encode() for s, t in zip(ids, texts)], pa.bool_()),
                 }
                 yield common.carried(batch, arrow, columns)
+        vocab.rest()
 
     return base.mapInArrow(run, schema)
 
