@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.parsing import salutation_of
 from ..functions.regex import B, S, matches
 from ..functions.text import word_count
+from .tables import written
 
 ZONES = ("admin.ch", "europa.eu", "gc.ca", "go.jp", "gob.es", "gouv.fr", "gov", "gov.uk", "govt.nz")
 LABELS = ("ameli", "caf", "gouv", "gov", "greffe", "impots", "justice", "mairie", "prefecture", "service-public", "tribunal", "urssaf", "ville")
@@ -42,30 +43,34 @@ def guess_register(domain: Column, text: Column) -> Column:
 
 def make_samples(df: DataFrame, tag: str) -> DataFrame:
     """Samples from entries (adapter, source, date, recipient_domain, extension, body,
-    signoff, signature and the order ``seq``): text, words, surface, register, greeting, id.
+    signoff, signature and ``seq``): text, words, surface, register, greeting, id.
 
-    Ids are a running number over the order of reading. It is a prefix sum: counts per
-    block of ``seq`` (a hash-free range of it) give each block its start, rows are numbered
-    inside their block only.
+    Ids are a running number over the order of reading: by source, and in it by ``seq``.
     """
     text = F.concat_ws("\n\n", F.nullif("body", F.lit("")), F.nullif("signoff", F.lit("")))
     made = df.withColumn("text", text).withColumn("words", word_count(F.col("text")).cast("int"))
     made = made.withColumn("surface", guess_surface(F.col("adapter"), F.col("extension"), F.col("words")))
     made = made.withColumn("register", guess_register(F.col("recipient_domain"), F.col("text"))).withColumn("salutation", salutation_of(F.col("body")))
-    numbered = running_number(made, "seq", "number")
+    numbered = running_number(made, ["source", "seq"], "number")
     digits = F.col("number").cast("string")
     name = F.concat(F.lit(tag + "-"), F.when(F.length(digits) < 4, F.lpad(digits, 4, "0")).otherwise(digits))
     return numbered.withColumn("id", name).withColumn("mailbox", F.lit(tag)).drop("number", "extension", "body")
 
 
-def running_number(df: DataFrame, order: str, name: str, block: int = 100_000) -> DataFrame:
-    """``df`` with the row's 1-based place by an integer ``order`` (ties share no place)."""
-    cell = F.floor(F.col(order) / block)
-    celled = df.withColumn("_cell", cell)
-    counts = celled.groupBy("_cell").agg(F.count("*").alias("_n"))
-    starts = counts.select("_cell", F.coalesce(F.sum("_n").over(W.orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    inside = F.row_number().over(W.partitionBy("_cell").orderBy(order))
-    return celled.withColumn("_k", inside).join(starts, "_cell").withColumn(name, F.col("_start") + F.col("_k")).drop("_cell", "_k", "_start")
+def running_number(df: DataFrame, order: str | list[str], name: str) -> DataFrame:
+    """``df`` with the row's 1-based place by ``order`` (ties share no place).
+
+    Rows are range-partitioned and sorted, and written with their place in the partition;
+    the sizes of the partitions, a row for each, are then summed.
+    """
+    keys = [order] if isinstance(order, str) else order
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    placed = written(ranged.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_at")), "numbered")
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_low"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", (before - F.col("_low") + 1).alias("_start"))
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_at") + F.col("_start")).drop("_part", "_at", "_start")
 
 
 def rule_condition(pattern: str, sample_id: Column, domain: Column) -> Column:

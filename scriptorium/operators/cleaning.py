@@ -129,6 +129,7 @@ def in_another_language(text: Column, lang: str, floor: int = 5) -> Column:
     return found
 
 
+BLANK_FIELDS = 2
 BLANK_FIELD = r"<\p{Lu}[^<>@\n]{0,40}>|\.{5,}|…{3,}|_{5,}"
 
 
@@ -153,6 +154,13 @@ def robot(address: Column) -> Column:
     return _like(address, ROBOTS)
 
 
+def senders(rows: DataFrame, least: int = 3, most: int = 40) -> DataFrame:
+    """(address, n): the commonest senders that are no robots, ``least`` messages each."""
+    people = rows.where(F.col("address").isNotNull() & ~robot(F.col("address")))
+    counts = people.groupBy("address").agg(F.count("*").alias("n"))
+    return counts.where(F.col("n") >= least).orderBy(F.desc("n"), "address").limit(most)
+
+
 def since(date: Column, start: str) -> Column:
     """In the window: a date at or after its start; rows without a date are kept."""
     return date.isNull() | (date >= start)

@@ -12,26 +12,39 @@ from .tables import written
 SAME_LETTER = 0.8
 
 
-def first_of_key(df: DataFrame, key: Column, order: str) -> DataFrame:
+def first_of_key(df: DataFrame, key: Column, order: str | list[str]) -> DataFrame:
     """``df`` with filed_twice: whether an earlier row has the same key; null keys never do.
 
-    The earliest row of each key is an aggregate with partial minima, so a key that very
-    many rows share is never gathered.
+    ``order`` places a row among all files: the source, then the place in it. The earliest
+    row of each key is an aggregate with partial minima, so a key that very many rows share
+    is never gathered.
     """
+    place = F.struct(*([order] if isinstance(order, str) else order))
     keyed = df.withColumn("_key", key)
-    firsts = keyed.where("_key is not null").groupBy("_key").agg(F.min(order).alias("_first"))
-    return keyed.join(firsts, "_key", "left").withColumn("filed_twice", F.coalesce(F.col(order) > F.col("_first"), F.lit(False))).drop("_key", "_first")
+    firsts = keyed.where("_key is not null").groupBy("_key").agg(F.min(place).alias("_first"))
+    return keyed.join(firsts, "_key", "left").withColumn("filed_twice", F.coalesce(place > F.col("_first"), F.lit(False))).drop("_key", "_first")
 
 
-def similar_letters(df: DataFrame, text: str, order: str, least: float = SAME_LETTER) -> DataFrame:
-    """(a, b, shared, smaller): pairs a < b that share ``least`` of the smaller set of runs.
+def letter_classes(df: DataFrame, text: str, order: str) -> tuple[DataFrame, DataFrame]:
+    """(id, first): each letter and the first with the same set of runs; and (id, runs) of the
+    firsts. Letters without a run are their own."""
+    runs = df.select(F.col(order).alias("id"), F.array_sort(F.transform(shingles(F.col(text)), lambda r: F.xxhash64(r))).alias("runs"))
+    runs = written(runs.withColumn("name", F.when(F.size("runs") > 0, F.md5(F.array_join(F.transform("runs", lambda r: r.cast("string")), " ").cast("binary")))), "dedupe")
+    first = runs.where("name is not null").groupBy("name").agg(F.min("id").alias("first"))
+    members = runs.select("id", "name").join(first, "name", "left").select("id", F.coalesce("first", "id").alias("first"))
+    return members, runs.join(first.select(F.col("first").alias("id")), "id", "left_semi").select("id", "runs")
+
+
+def similar_letters(firsts: DataFrame, least: float = SAME_LETTER) -> DataFrame:
+    """(a, b, shared, smaller): pairs a < b of (id, runs) that share ``least`` of the smaller
+    set of runs. Of letters with equal sets only the first is compared (``letter_classes``),
+    so copies make no pairs.
 
     Prefix filter: a pair that shares so much must share one of the rarest runs of the
     smaller set, those in its first n - ceil(least * n) + 1 by rarity. Only these prefixes
     are looked up in the inverted index, so a run that most letters have is in few of them.
     """
-    runs = df.select(F.col(order).alias("id"), shingles(F.col(text)).alias("runs")).where(F.size("runs") > 0)
-    flat = written(runs.select("id", F.size("runs").alias("n"), F.explode("runs").alias("run")).select("id", "n", F.xxhash64("run").alias("run")), "dedupe")
+    flat = written(firsts.select("id", F.size("runs").alias("n"), F.explode("runs").alias("run")), "dedupe")
     often = flat.groupBy("run").agg(F.count("*").alias("df")).where("df > 1")
     shared = written(flat.join(often, "run"), "dedupe")
     rare = F.row_number().over(W.partitionBy("id").orderBy("df", "run"))
@@ -65,3 +78,15 @@ def greedy_kept(ids: DataFrame, pairs: DataFrame, order: str) -> DataFrame:
         after = state.join(stays, "id", "left").join(gone, "id", "left")
         state = written(after.select("id", F.coalesce("kept", F.when(F.col("now"), True), F.when(F.col("gone"), False)).alias("kept")), "dedupe")
     return ids.join(state.withColumnRenamed("id", order), order, "left").select(order, F.coalesce("kept", F.lit(True)).alias("kept"))
+
+
+def kept_letters(df: DataFrame, text: str, order: str, least: float = SAME_LETTER) -> DataFrame:
+    """(order, kept): a letter goes if it is near one kept before it.
+
+    One with the runs of an earlier letter always goes: what is near the earlier one is
+    near it too.
+    """
+    members, firsts = letter_classes(df, text, order)
+    decided = greedy_kept(firsts.select(F.col("id").alias(order)), similar_letters(firsts, least), order)
+    alone = members.withColumnRenamed("id", order).join(decided, order, "left")
+    return alone.select(order, (F.col(order) == F.col("first")).alias("_own"), "kept").select(order, (F.col("_own") & F.coalesce("kept", F.lit(True))).alias("kept"))

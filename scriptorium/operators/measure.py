@@ -99,8 +99,8 @@ def records(samples: DataFrame, profile: Profile, supplied: bool = False) -> Dat
     return with_body.withColumns({
         "tokens": words(F.col("body"), profile),
         "sentences": sentences(F.col("body"), profile),
-        "block_words": F.transform(paragraphs(F.col("body")), lambda b: F.size(words(b, profile))),
-    }).withColumn("sentence_words", F.transform("sentences", lambda s: F.size(words(s, profile))))
+        "block_words": lengths(paragraphs(F.col("body")), profile),
+    }).withColumn("sentence_words", lengths(F.col("sentences"), profile))
 
 
 # -- groups --------------------------------------------------------------------------------
@@ -131,31 +131,103 @@ def percentile(values: Column, fraction: float) -> Column:
     return F.coalesce(rounded(F.percentile(values, F.lit(fraction)), 2), F.lit(0.0))
 
 
+PUNCTUATION = ((",", "comma"), (";", "semicolon"), (":", "colon"), ("(", "parenthesis"))
+PUNCTUATED = (*[name for _, name in PUNCTUATION], "quotation")
+
+
+def punctuation(body: Column) -> list[Column]:
+    """How often each mark of ``PUNCTUATED`` occurs."""
+    return [*[count_of(body, c).alias(name) for c, name in PUNCTUATION], (count_of(body, '"') + count_of(body, "«")).alias("quotation")]
+
+
+def is_list(body: Column) -> Column:
+    return F.size(F.filter(lines(body), lambda x: F.regexp_like(x, F.lit(LIST_LINE)))) >= 2
+
+
+def doubled(body: Column) -> Column:
+    return F.regexp_like(body, F.lit(rf"!{S}*!"))
+
+
+def lengths(units: Column, profile: Profile) -> Column:
+    """The number of words of each unit of an array."""
+    return F.transform(units, lambda u: F.size(words(u, profile)))
+
+
+def times(tokens: Column, chosen: tuple[str, ...]) -> Column:
+    return F.size(F.filter(tokens, lambda t: t.isin(*chosen))) if chosen else F.lit(0)
+
+
+def length_summary(n: Column) -> list[Column]:
+    """total, median, mean, p25, p75, min and max of a number per row."""
+    return [
+        F.sum(n).cast("long").alias("total"),
+        percentile(n, 0.5).alias("median"),
+        rounded(F.sum(n) / F.count("*"), 1).alias("mean"),
+        percentile(n, 0.25).alias("p25"),
+        percentile(n, 0.75).alias("p75"),
+        F.min(n).cast("long").alias("min"),
+        F.max(n).cast("long").alias("max"),
+    ]
+
+
+def person_summary() -> list[Column]:
+    """Of rows with fam and form (marks of either address) and n words."""
+    fam, form = F.col("fam"), F.col("form")
+    return [
+        F.count_if(fam > form).alias("familiar_messages"),
+        F.count_if(fam < form).alias("formal_messages"),
+        F.count_if((fam == form) & (fam > 0)).alias("mixed_messages"),
+        F.count_if((fam == 0) & (form == 0)).alias("no_marker_messages"),
+        share(F.count_if(fam > form), F.count("*")).alias("familiar_pct"),
+        rate(F.sum("fam"), F.sum("n"), 1000).alias("familiar_per_1000"),
+        rate(F.sum("form"), F.sum("n"), 1000).alias("formal_per_1000"),
+    ]
+
+
+def emphasis_summary() -> list[Column]:
+    """Of rows with ex and qu (exclamation and question marks) and n words."""
+    return [
+        rate(F.sum("ex"), F.sum("n"), 1000).alias("exclamations_per_1000"),
+        share(F.count_if(F.col("ex") > 0), F.count("*")).alias("exclamation_pct"),
+        F.count_if("doubled").alias("doubled_messages"),
+        rate(F.sum("qu"), F.sum("n"), 1000).alias("questions_per_1000"),
+        share(F.count_if(F.col("qu") > 0), F.count("*")).alias("question_pct"),
+    ]
+
+
+def list_summary() -> list[Column]:
+    return [F.count_if("lst").alias("list_messages"), share(F.count_if("lst"), F.count("*")).alias("list_pct")]
+
+
+def punctuation_summary() -> list[Column]:
+    return [rate(F.sum(c), F.sum("n"), 1000).alias(f"{c}_per_1000") for c in PUNCTUATED]
+
+
+def bucket_shares(length: Column) -> list[Column]:
+    """The share of sentences of each class of length."""
+    return [share(F.count_if((length >= (a or 0)) & (length <= (b or 1 << 30))), F.count("*")).alias(f"sentence_{name}_pct") for name, a, b in BUCKETS]
+
+
 def measures(found: DataFrame, profile: Profile) -> DataFrame:
     """(kind, key) with every scalar measure of the group."""
     body, tokens = F.col("body"), F.col("tokens")
-
-    def times(chosen: tuple[str, ...]) -> Column:
-        return F.size(F.filter(tokens, lambda t: t.isin(*chosen))) if chosen else F.lit(0)
-
     per = found.select(
         "register",
         "surface",
         F.size(tokens).alias("n"),
         F.size("sentence_words").alias("s"),
         F.size("block_words").alias("p"),
-        times(profile.familiar).alias("fam"),
-        times(profile.formal).alias("form"),
+        times(tokens, profile.familiar).alias("fam"),
+        times(tokens, profile.formal).alias("form"),
         F.col("salutation").isNotNull().alias("has_sal"),
         F.col("signoff").isNotNull().alias("has_off"),
         F.col("signature").isNotNull().alias("has_sig"),
         count_of(body, "!").alias("ex"),
-        F.regexp_like(body, F.lit(rf"!{S}*!")).alias("doubled"),
+        doubled(body).alias("doubled"),
         count_of(body, "?").alias("qu"),
         matches(body, EMOJI).alias("em"),
-        (F.size(F.filter(lines(body), lambda x: F.regexp_like(x, F.lit(LIST_LINE)))) >= 2).alias("lst"),
-        *[count_of(body, c).alias(a) for c, a in ((",", "comma"), (";", "semicolon"), (":", "colon"), ("(", "parenthesis"))],
-        (count_of(body, '"') + count_of(body, "«")).alias("quotation"),
+        is_list(body).alias("lst"),
+        *punctuation(body),
         F.col("date") if "date" in found.columns else F.lit(None).cast("string").alias("date"),
     )
     n = F.count("*")
@@ -166,69 +238,64 @@ def measures(found: DataFrame, profile: Profile) -> DataFrame:
         n.alias("messages"),
         F.min(F.nullif("date", F.lit(""))).alias("date_first"),
         F.max(F.nullif("date", F.lit(""))).alias("date_last"),
-        total.cast("long").alias("words_total"),
-        percentile(F.col("n"), 0.5).alias("words_median"),
-        rounded(total / n, 1).alias("words_mean"),
-        percentile(F.col("n"), 0.25).alias("words_p25"),
-        percentile(F.col("n"), 0.75).alias("words_p75"),
-        F.min("n").cast("long").alias("words_min"),
-        F.max("n").cast("long").alias("words_max"),
+        *[c.alias(f"words_{name}") for c, name in zip(length_summary(F.col("n")), ("total", "median", "mean", "p25", "p75", "min", "max"))],
         sent.cast("long").alias("sentences_total"),
         percentile(F.col("s"), 0.5).alias("sentences_median_per_message"),
         percentile(F.col("p"), 0.5).alias("paragraphs_median_per_message"),
-        yes((F.col("fam") > F.col("form"))).alias("familiar_messages"),
-        yes((F.col("fam") < F.col("form"))).alias("formal_messages"),
-        yes((F.col("fam") == F.col("form")) & (F.col("fam") > 0)).alias("mixed_messages"),
-        yes((F.col("fam") == 0) & (F.col("form") == 0)).alias("no_marker_messages"),
-        share(yes(F.col("fam") > F.col("form")), n).alias("familiar_pct"),
-        rate(F.sum("fam"), total, 1000).alias("familiar_per_1000"),
-        rate(F.sum("form"), total, 1000).alias("formal_per_1000"),
+        *person_summary(),
         share(yes(F.col("has_sal")), n).alias("salutation_pct"),
         share(yes(~F.col("has_sal")), n).alias("no_salutation_pct"),
         share(yes(F.col("has_off")), n).alias("signoff_pct"),
         share(yes(F.col("has_sig")), n).alias("signature_pct"),
-        rate(F.sum("ex"), total, 1000).alias("exclamations_per_1000"),
+        *emphasis_summary(),
         rate(F.sum("ex"), sent, 100, 1).alias("exclamations_per_100_sentences"),
-        share(yes(F.col("ex") > 0), n).alias("exclamation_pct"),
-        yes(F.col("doubled")).alias("doubled_messages"),
-        rate(F.sum("qu"), total, 1000).alias("questions_per_1000"),
         rate(F.sum("qu"), sent, 100, 1).alias("questions_per_100_sentences"),
-        share(yes(F.col("qu") > 0), n).alias("question_pct"),
         rate(F.sum("em"), total, 1000).alias("emoji_per_1000"),
         share(yes(F.col("em") > 0), n).alias("emoji_pct"),
-        yes(F.col("lst")).alias("list_messages"),
-        share(yes(F.col("lst")), n).alias("list_pct"),
-        *[rate(F.sum(c), total, 1000).alias(f"{c}_per_1000") for c in ("comma", "semicolon", "colon", "parenthesis", "quotation")],
+        *list_summary(),
+        *punctuation_summary(),
     )
     units = found.select("register", "surface", F.explode("sentence_words").alias("w"))
     length = F.col("w")
-    inside = [yes((length >= (a or 0)) & (length <= (b or 1 << 30))) for _, a, b in BUCKETS]
     by_sentence = _sets(
         units,
         percentile(length, 0.5).alias("sentence_median_words"),
         rounded(F.sum("w") / F.count("*"), 1).alias("sentence_mean_words"),
         percentile(length, 0.9).alias("sentence_p90_words"),
         F.max("w").cast("long").alias("sentence_max_words"),
-        *[share(c, F.count("*")).alias(f"sentence_{name}_pct") for c, (name, _, _) in zip(inside, BUCKETS)],
+        *bucket_shares(length),
     )
     by_block = _sets(found.select("register", "surface", F.explode("block_words").alias("w")), percentile(F.col("w"), 0.5).alias("paragraph_median_words"))
     return scalar.join(by_sentence, ["kind", "key"], "left").join(by_block, ["kind", "key"], "left")
 
 
-def grouped(df: DataFrame, *keys: str) -> DataFrame:
+KINDS = ("overall", "register", "surface")
+
+
+def grouped(df: DataFrame, *keys: str, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """Rows (register, surface, *keys, count) summed for every group of the sample."""
+    if kinds == ("overall",):
+        counted = df.groupBy(*keys).agg(F.sum("count").alias("count"))
+        return counted.select(F.lit("overall").alias("kind"), F.lit("").alias("key"), *keys, "count")
     counted = df.groupBy("register", "surface", *keys).agg(F.sum("count").alias("count"))
     spread = counted.withColumn("_g", F.explode(groups_of(F.col("register"), F.col("surface"))))
     return spread.groupBy(F.col("_g.kind").alias("kind"), F.col("_g.key").alias("key"), *keys).agg(F.sum("count").alias("count"))
 
 
-def top(counts: DataFrame, form: str, k: int) -> DataFrame:
-    """The ``k`` commonest forms of each group, with rank; ties in language order."""
+def top(counts: DataFrame, form: str, k: int | None) -> DataFrame:
+    """The ``k`` commonest forms of each group, with rank; ties in language order.
+
+    Spark cuts each partition to ``k`` before the shuffle, as the rank is compared with a
+    constant. Without ``k`` all forms stay and none is ranked, as that would sort a group's
+    whole vocabulary in one task.
+    """
+    if k is None:
+        return counts.withColumn("rank", F.lit(None).cast("int"))
     order = W.partitionBy("kind", "key").orderBy(F.desc("count"), F.collate(F.col(form), "UNICODE"), form)
     return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def forms(found: DataFrame, column: str, profile: Profile, k: int = 8, masked: bool = True) -> DataFrame:
+def forms(found: DataFrame, column: str, profile: Profile, k: int | None = 8, masked: bool = True) -> DataFrame:
     """Commonest greetings or closings, names masked, on one line."""
     line = F.regexp_replace(F.col(column), rf"{S}*\n{S}*", " ")
     form = masking.mask_names(line, profile) if masked else line
@@ -244,7 +311,13 @@ def families(text: Column, profile: Profile) -> Column:
     return F.array_compact(F.array(*[F.when(F.regexp_like(tail, F.lit(bounded(rx))), F.lit(name)) for name, rx in profile.families])) if profile.families else F.array().cast("array<string>")
 
 
-def emojis(found: DataFrame, k: int = 8) -> DataFrame:
+def family_counts(found: DataFrame, profile: Profile) -> DataFrame:
+    """(kind, key, family, count): in how many texts of each group a closing family stands."""
+    rows = found.select("register", "surface", F.explode(families(F.col("text"), profile)).alias("family"), F.lit(1).alias("count"))
+    return grouped(rows, "family")
+
+
+def emojis(found: DataFrame, k: int | None = 8) -> DataFrame:
     rows = found.select("register", "surface", F.explode(F.regexp_extract_all("body", F.lit(EMOJI), F.lit(0))).alias("emoji"), F.lit(1).alias("count"))
     return top(grouped(rows, "emoji"), "emoji", k)
 
@@ -265,7 +338,7 @@ def tic_count(tic: Tic, body: Column, parts: Column, profile: Profile) -> Column
     return F.size(F.filter(first, lambda t: F.get(t, F.lit(0)).isin(*chosen))).cast("long")
 
 
-def tics(found: DataFrame, profile: Profile, k: int = 20) -> DataFrame:
+def tics(found: DataFrame, profile: Profile, k: int | None = 20) -> DataFrame:
     """(kind, key, rank, tic, count, messages) of the tics that occur."""
     made = F.array(*[F.struct(F.lit(t.name).alias("tic"), tic_count(t, F.col("body"), F.col("sentences"), profile).alias("n")) for t in profile.tics])
     rows = found.select("register", "surface", F.explode(made).alias("t")).where("t.n > 0").select("register", "surface", "t.tic", "t.n")
@@ -281,9 +354,14 @@ def tics(found: DataFrame, profile: Profile, k: int = 20) -> DataFrame:
 def vocabulary(found: DataFrame, profile: Profile) -> DataFrame:
     """(word): every word that some body, personal data masked, writes in lower case."""
     masked = masking.mask_personal_data(F.col("body"), profile)
-    raw = found.select(F.explode(F.regexp_extract_all(masked, F.lit(profile.word), F.lit(0))).alias("raw"))
-    head = F.left(F.col("raw"), F.lit(1))
-    return raw.where(head == F.lower(head)).select(F.lower("raw").alias("word")).distinct()
+    return found.select(F.explode(lower_words(masked, profile)).alias("word")).distinct()
+
+
+def lower_words(text: Column, profile: Profile) -> Column:
+    """The different words that a text begins with a lower-case letter."""
+    raw = F.regexp_extract_all(text, F.lit(profile.word), F.lit(0))
+    lower = F.filter(raw, lambda w: F.left(w, F.lit(1)) == F.lower(F.left(w, F.lit(1))))
+    return F.array_distinct(F.transform(lower, F.lower))
 
 
 def vouched(masked: DataFrame, known: DataFrame, profile: Profile, key: str) -> DataFrame:
@@ -308,13 +386,13 @@ def masked_runs(found: DataFrame, known: DataFrame, profile: Profile, key: str)
 NGRAM_LEAST = {2: 4, 3: 3}
 
 
-def ngrams(runs: DataFrame, totals: DataFrame, size: int, reference: dict[str, int], k: int = 15) -> DataFrame:
+def ngrams(runs: DataFrame, totals: DataFrame, size: int, reference: dict[str, int], k: int | None = 15, kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """(kind, key, rank, ngram, count, per_10k, reference_per_10k, times_the_reference).
 
     ``runs``: (register, surface, runs); ``totals``: (kind, key, words_total) of the bodies.
     """
     exploded = runs.select("register", "surface", F.explode(F.flatten(F.transform("runs", lambda r: F.transform(grams(r, size), display)))).alias("ngram"), F.lit(1).alias("count"))
-    counts = grouped(exploded, "ngram").where(F.col("count") >= NGRAM_LEAST[size])
+    counts = grouped(exploded, "ngram", kinds=kinds).where(F.col("count") >= NGRAM_LEAST[size])
     known = F.lit(None).cast("int")
     if reference:
         known = F.try_element_at(F.create_map(*[x for g, r in reference.items() for x in (F.lit(g), F.lit(r))]), F.col("ngram"))
@@ -342,6 +420,30 @@ def untouched_counts(samples: DataFrame) -> DataFrame:
     return rows.select(typography.labelled(typography.code_point(F.col("c"))).alias("label"), "count")
 
 
+# -- the corpus -----------------------------------------------------------------------------------
+
+
+def corpus(samples: DataFrame) -> DataFrame:
+    """(mailbox, samples, langs, domains, first_date, last_date): what each mailbox gave."""
+    blank = F.lit("")
+    domain = F.nullif("recipient_domain", blank) if "recipient_domain" in samples.columns else F.lit(None).cast("string")
+    rows = samples.select(F.coalesce(F.nullif("mailbox", blank), F.lit("unknown")).alias("mailbox"), "lang", domain.alias("domain"), F.nullif("date", blank).alias("date"))
+    return rows.groupBy("mailbox").agg(F.count("*").alias("samples"), F.countDistinct("lang").alias("langs"), F.countDistinct("domain").alias("domains"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+
+
+def sources(samples: DataFrame, documents: DataFrame) -> DataFrame:
+    """(document, source, mailbox, adapter, reviewed, samples) of each document, those that
+    gave no sample too; mailbox and adapter are what all samples agree on, else the document's."""
+
+    def agreed(name: str) -> Column:
+        value = F.nullif(name, F.lit(""))
+        return F.when(F.min(value) == F.max(value), F.min(value)).alias("_" + name)
+
+    found = samples.groupBy("document").agg(agreed("mailbox"), agreed("adapter"), F.count("*").alias("_n"))
+    rows = documents.join(found, "document", "left").select("document", "source", F.coalesce("_mailbox", "tag").alias("mailbox"), F.coalesce("_adapter", "adapter").alias("adapter"), F.coalesce("_n", F.lit(0)).alias("samples"))
+    return rows.select("document", "source", "mailbox", "adapter", F.coalesce(F.col("adapter") == "folder", F.lit(False)).alias("reviewed"), "samples")
+
+
 # -- extracts -------------------------------------------------------------------------------------
 
 

@@ -12,6 +12,7 @@ from ..functions.profiles import profile_for
 from ..functions.text import word_count
 from ..operators import classify, cleaning, measure
 from ..operators.tables import written
+from . import reports
 
 
 def _arrow(schema: T.StructType):
@@ -72,7 +73,7 @@ def collect_mail(messages: DataFrame, me: list[str], tag: str, lang: str = "", s
         from ..operators.dedupe import first_of_key
 
         kept = judged.where("_early is null")
-        again = first_of_key(kept, F.nullif(F.trim("_id"), F.lit("")), "seq")
+        again = first_of_key(kept, F.nullif(F.trim("_id"), F.lit("")), ["source", "seq"])
         judged = judged.where("_early is not null").unionByName(again.withColumn("_early", F.when(F.col("filed_twice"), F.lit("filed_twice"))).drop("filed_twice"))
     blank = F.when(F.col("_early").isNull() & F.col("_blank"), F.lit("no_body"))
     read = bodies(judged.withColumn("_early", F.coalesce("_early", blank)))
@@ -98,6 +99,41 @@ def collect_mail(messages: DataFrame, me: list[str], tag: str, lang: str = "", s
     return finish(entries, tag, lang)
 
 
+def collect_letters(letters: DataFrame, author: list[str], tag: str, lang: str = "", since: str | None = None, unlike: tuple[str, ...] = (), dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(samples, funnel) of letters (path, extension, content) of a folder.
+
+    The reasons in the order in which they are looked for: not decoded, not signed by the
+    author (where one is given), written by a machine, a blank template, nothing but
+    quotation, before the window (by the date in the file's name), near one kept before it
+    in the order of paths.
+    """
+    text = F.replace(decoding.decode_charset(F.col("content"), F.lit(""))["text"], F.lit("\r\n"), F.lit("\n"))
+    name = F.regexp_extract("path", r"([^/]*)\z", 1)
+    read = letters.select(F.col("path").alias("source"), F.lit(0).cast("long").alias("seq"), "extension", parsing.stamp_of(name).alias("date"), F.coalesce(text, F.lit("")).alias("_text"))
+    own = parsing.letter_body(F.when(F.col("extension") == ".tex", parsing.tex_to_text(F.col("_text"))).otherwise(F.col("_text")))
+    parted = written(read.withColumn("_s", cleaning.split_signature(cleaning.strip_quoted(own)["text"])), "letters")
+    signed = F.lit(not author)
+    for a in author:
+        signed = signed | cleaning.signed_by(F.col("_text"), a)
+    reason = cleaning.first_reason(
+        ("unreadable", parsing.undecoded(F.col("_text"))),
+        ("not_from_the_user", ~signed),
+        ("written_by_a_machine", cleaning.written_by_a_machine(F.col("_text"), unlike)),
+        ("a_blank_template", cleaning.blank_fields(F.col("_text")) >= cleaning.BLANK_FIELDS),
+        ("nothing_of_their_own", word_count(F.col("_s.body")) == 0),
+        ("outside_the_window", ~cleaning.since_stamp(F.col("date"), since) if since else F.lit(False)),
+    )
+    judged = parted.select("source", "seq", reason.alias("drop_reason"), "date", F.lit(None).cast("string").alias("recipient_domain"), F.lit("folder").alias("adapter"), "extension", "_s.body", "_s.signoff", "_s.signature")
+    if dedupe:
+        from ..operators.dedupe import kept_letters
+
+        judged = written(judged, "judged")
+        told = kept_letters(judged.where("drop_reason is null"), "body", "source")
+        again = judged.join(told, "source", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.when(~F.col("kept"), F.lit("filed_twice"))))
+        judged = again.select(*judged.columns)
+    return finish(judged, tag, lang)
+
+
 def finish(entries: DataFrame, tag: str, lang: str = "") -> tuple[DataFrame, DataFrame]:
     """(samples, funnel) of entries with a ``drop_reason`` so far: recurring tails off, other
     languages out, what stays masked, classified and numbered."""
@@ -134,6 +170,7 @@ def analyse(samples: DataFrame, lang: str = "en", registers: dict[str, str] | No
     totals = scalar.select("kind", "key", "words_total")
     frames = {
         "measures": scalar,
+        "families": measure.family_counts(found, profile),
         "salutations": measure.forms(found, "salutation", profile),
         "signoffs": measure.forms(found, "signoff", profile),
         "emojis": measure.emojis(found),
@@ -144,6 +181,8 @@ def analyse(samples: DataFrame, lang: str = "en", registers: dict[str, str] | No
         "typography": measure.typographic_counts(samples),
         "untouched": measure.untouched_counts(samples),
     }
+    if {"mailbox", "lang", "date"} <= set(samples.columns):
+        frames["corpus"] = measure.corpus(samples)
     if report is not None:
         frames["register_table"] = report
     return frames
@@ -184,6 +223,4 @@ def assembled(frames: dict[str, DataFrame]) -> dict:
 def typo(files: DataFrame, lang: str = "en", settings: dict[str, str] | None = None) -> tuple[DataFrame, DataFrame]:
     """(files with ``fixed`` text, report of (path, label, n)) of a tree of texts."""
     fixed = files.withColumn("fixed", typography.normalize(F.col("text"), lang, settings))
-    rows = files.select("path", F.explode(typography.points_of(F.col("text"))).alias("c"))
-    counts = rows.groupBy("path", typography.labelled(typography.code_point(F.col("c"))).alias("label")).agg(F.count("*").alias("n"))
-    return fixed, counts
+    return fixed, reports.typo_report(files)

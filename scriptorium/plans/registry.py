@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import masking, parsing, typography
 from ..functions.profiles import ENGLISH, FRENCH, FUNCTION_WORDS
-from ..functions.regex import count_of, matches, rate, rounded, share
+from ..functions.regex import count_of
 from ..functions.text import paragraphs, sentences, word_count, words
 from ..operators import classify, cleaning, dedupe, measure
 from ..operators.tables import written
+from . import pipelines, reports
 from . import stimulus as st
 
 QUERIES: dict = {}
@@ -97,25 +98,13 @@ def view(text: str, source: str = D) -> str:
 # -- words, paragraphs, sentences --------------------------------------------------------------
 
 
-def _stats(n):
-    return [
-        F.sum(n).cast("long").alias("total"),
-        measure.percentile(n, 0.5).alias("median"),
-        rounded(F.sum(n) / F.count("*"), 1).alias("mean"),
-        measure.percentile(n, 0.25).alias("p25"),
-        measure.percentile(n, 0.75).alias("p75"),
-        F.min(n).cast("long").alias("least"),
-        F.max(n).cast("long").alias("most"),
-    ]
-
-
 def d_stats(n: str) -> str:
-    return f"sum({n})::BIGINT AS total, {d_pct(n, 0.5)} AS median, {d_round(f'sum({n})::DOUBLE / count(*)', 1)} AS mean, {d_pct(n, 0.25)} AS p25, {d_pct(n, 0.75)} AS p75, min({n})::BIGINT AS least, max({n})::BIGINT AS most"
+    return f"sum({n})::BIGINT AS total, {d_pct(n, 0.5)} AS median, {d_round(f'sum({n})::DOUBLE / count(*)', 1)} AS mean, {d_pct(n, 0.25)} AS p25, {d_pct(n, 0.75)} AS p75, min({n})::BIGINT AS min, max({n})::BIGINT AS max"
 
 
 @query("q01_word_stats_by_lang", f"SELECT lang, {d_stats('n')} FROM (SELECT lang, len({d_words('text')}) AS n FROM documents) GROUP BY lang")
 def q01(spark, sf_dir):
-    return docs(spark, sf_dir).select("lang", F.size(words(F.col("text"), ENGLISH)).alias("n")).groupBy("lang").agg(*_stats(F.col("n")))
+    return docs(spark, sf_dir).select("lang", F.size(words(F.col("text"), ENGLISH)).alias("n")).groupBy("lang").agg(*measure.length_summary(F.col("n")))
 
 
 _ELIDED = "CASE WHEN lang = 'fr' THEN replace(text, ' le ', ' l''') ELSE text END"
@@ -132,14 +121,14 @@ def q02(spark, sf_dir):
     f"SELECT lang, {d_stats('n')}, sum(p)::BIGINT AS paragraphs FROM (SELECT lang, len({d_words('b')}) AS n, 1 AS p FROM (SELECT lang, unnest({d_paragraphs('text')}) AS b FROM {view(st.LETTER)})) GROUP BY lang",
 )
 def q03(spark, sf_dir):
-    rows = docs(spark, sf_dir, st.LETTER).select("lang", F.explode(paragraphs(F.col("text"))).alias("b"))
-    return rows.select("lang", F.size(words(F.col("b"), ENGLISH)).alias("n")).groupBy("lang").agg(*_stats(F.col("n")), F.count("*").alias("paragraphs"))
+    rows = docs(spark, sf_dir, st.LETTER).select("lang", F.explode(measure.lengths(paragraphs(F.col("text")), ENGLISH)).alias("n"))
+    return rows.groupBy("lang").agg(*measure.length_summary(F.col("n")), F.count("*").alias("paragraphs"))
 
 
 @query("q04_sentence_stats", f"SELECT lang, {d_stats('n')}, count(*) AS sentences FROM (SELECT lang, len({d_words('sentence')}) AS n FROM ({d_sentences(D, 'text', 'lang')})) GROUP BY lang")
 def q04(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("lang", F.explode(sentences(F.col("text"), ENGLISH)).alias("s"))
-    return rows.select("lang", F.size(words(F.col("s"), ENGLISH)).alias("n")).groupBy("lang").agg(*_stats(F.col("n")), F.count("*").alias("sentences"))
+    rows = docs(spark, sf_dir).select("lang", F.explode(measure.lengths(sentences(F.col("text"), ENGLISH), ENGLISH)).alias("n"))
+    return rows.groupBy("lang").agg(*measure.length_summary(F.col("n")), F.count("*").alias("sentences"))
 
 
 _BUCKETS = [(name, a or 0, b or 1 << 30) for name, a, b in measure.BUCKETS]
@@ -147,43 +136,33 @@ _BUCKETS = [(name, a or 0, b or 1 << 30) for name, a, b in measure.BUCKETS]
 
 @query(
     "q05_sentence_length_histogram",
-    "SELECT source, " + ", ".join(d_rate(f"count(*) FILTER (WHERE n BETWEEN {a} AND {b})", "count(*)", 100, 1) + f" AS b_{name}" for name, a, b in _BUCKETS) + f" FROM (SELECT source, len({d_words('sentence')}) AS n FROM ({d_sentences(D, 'text', 'source')})) GROUP BY source",
+    "SELECT source, " + ", ".join(d_rate(f"count(*) FILTER (WHERE n BETWEEN {a} AND {b})", "count(*)", 100, 1) + f" AS sentence_{name}_pct" for name, a, b in _BUCKETS) + f" FROM (SELECT source, len({d_words('sentence')}) AS n FROM ({d_sentences(D, 'text', 'source')})) GROUP BY source",
 )
 def q05(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("source", F.explode(F.transform(sentences(F.col("text"), ENGLISH), lambda s: F.size(words(s, ENGLISH)))).alias("n"))
-    return rows.groupBy("source").agg(*[share(F.count_if(F.col("n").between(a, b)), F.count("*")).alias("b_" + name) for name, a, b in _BUCKETS])
-
-
-_PUNCT = ((",", "comma"), (";", "semicolon"), (":", "colon"), ("(", "parenthesis"))
+    rows = docs(spark, sf_dir).select("source", F.explode(measure.lengths(sentences(F.col("text"), ENGLISH), ENGLISH)).alias("n"))
+    return rows.groupBy("source").agg(*measure.bucket_shares(F.col("n")))
 
 
 @query(
     "q06_punctuation_rates",
-    "SELECT lang, " + ", ".join(d_rate(f"sum({d_count('text', c)})", "sum(n)", 1000) + f" AS {a}" for c, a in _PUNCT) + f""", {d_rate(f"sum({d_count('text', chr(34))} + {d_count('text', '«')})", "sum(n)", 1000)} AS quotation FROM (SELECT *, len({d_words('text')}) AS n FROM {view(st.MARKS)}) GROUP BY lang""",
+    "SELECT lang, " + ", ".join(d_rate(f"sum({d_count('text', c)})", "sum(n)", 1000) + f" AS {a}_per_1000" for c, a in measure.PUNCTUATION) + f""", {d_rate(f"sum({d_count('text', chr(34))} + {d_count('text', '«')})", "sum(n)", 1000)} AS quotation_per_1000 FROM (SELECT *, len({d_words('text')}) AS n FROM {view(st.MARKS)}) GROUP BY lang""",
 )
 def q06(spark, sf_dir):
     t = F.col("text")
-    rows = docs(spark, sf_dir, st.MARKS).withColumn("n", F.size(words(t, ENGLISH)))
-    return rows.groupBy("lang").agg(*[rate(F.sum(count_of(t, c)), F.sum("n"), 1000).alias(a) for c, a in _PUNCT], rate(F.sum(count_of(t, '"') + count_of(t, "«")), F.sum("n"), 1000).alias("quotation"))
+    rows = docs(spark, sf_dir, st.MARKS).select("lang", F.size(words(t, ENGLISH)).alias("n"), *measure.punctuation(t))
+    return rows.groupBy("lang").agg(*measure.punctuation_summary())
 
 
 @query(
     "q07_exclamation_question",
-    rf"""SELECT source, {d_rate("sum(e)", "sum(n)", 1000)} AS exclamations, {d_rate("sum(q)", "sum(n)", 1000)} AS questions,
-{d_rate("count_if(e > 0)", "count(*)", 100, 1)} AS with_exclamation, {d_rate("count_if(q > 0)", "count(*)", 100, 1)} AS with_question, count_if(regexp_matches(text, '!\s*!'))::BIGINT AS doubled
+    rf"""SELECT source, {d_rate("sum(e)", "sum(n)", 1000)} AS exclamations_per_1000, {d_rate("sum(q)", "sum(n)", 1000)} AS questions_per_1000,
+{d_rate("count_if(e > 0)", "count(*)", 100, 1)} AS exclamation_pct, {d_rate("count_if(q > 0)", "count(*)", 100, 1)} AS question_pct, count_if(regexp_matches(text, '!\s*!'))::BIGINT AS doubled_messages
 FROM (SELECT source, text, len({d_words("text")}) AS n, {d_count("text", "!")} AS e, {d_count("text", "?")} AS q FROM {view(st.MARKS)}) GROUP BY source""",
 )
 def q07(spark, sf_dir):
     t = F.col("text")
-    rows = docs(spark, sf_dir, st.MARKS).select("source", "text", F.size(words(t, ENGLISH)).alias("n"), count_of(t, "!").alias("e"), count_of(t, "?").alias("q"))
-    n = F.count("*")
-    return rows.groupBy("source").agg(
-        rate(F.sum("e"), F.sum("n"), 1000).alias("exclamations"),
-        rate(F.sum("q"), F.sum("n"), 1000).alias("questions"),
-        share(F.count_if(F.col("e") > 0), n).alias("with_exclamation"),
-        share(F.count_if(F.col("q") > 0), n).alias("with_question"),
-        F.count_if(F.regexp_like("text", F.lit(r"!\s*!"))).alias("doubled"),
-    )
+    rows = docs(spark, sf_dir, st.MARKS).select("source", F.size(words(t, ENGLISH)).alias("n"), count_of(t, "!").alias("ex"), count_of(t, "?").alias("qu"), measure.doubled(t).alias("doubled"))
+    return rows.groupBy("source").agg(*measure.emphasis_summary())
 
 
 def d_in(words_) -> str:
@@ -192,19 +171,14 @@ def d_in(words_) -> str:
 
 @query(
     "q08_second_person_fr",
-    f"""SELECT source, count_if(f > v)::BIGINT AS familiar, count_if(f < v)::BIGINT AS formal, count_if(f = v AND f > 0)::BIGINT AS mixed, count_if(f = 0 AND v = 0)::BIGINT AS no_marker, {d_rate("sum(f)", "sum(n)", 1000)} AS familiar_per_1000
+    f"""SELECT source, count_if(f > v)::BIGINT AS familiar_messages, count_if(f < v)::BIGINT AS formal_messages, count_if(f = v AND f > 0)::BIGINT AS mixed_messages, count_if(f = 0 AND v = 0)::BIGINT AS no_marker_messages,
+  {d_rate("count_if(f > v)", "count(*)", 100, 1)} AS familiar_pct, {d_rate("sum(f)", "sum(n)", 1000)} AS familiar_per_1000, {d_rate("sum(v)", "sum(n)", 1000)} AS formal_per_1000
 FROM (SELECT source, len(t) AS n, len(list_filter(t, lambda x: x IN ({d_in(FRENCH.familiar)}))) AS f, len(list_filter(t, lambda x: x IN ({d_in(FRENCH.formal)}))) AS v FROM (SELECT source, {d_words("text", FR)} AS t FROM {view(st.LETTER)})) GROUP BY source""",
 )
 def q08(spark, sf_dir):
     rows = docs(spark, sf_dir, st.LETTER).select("source", words(F.col("text"), FRENCH).alias("t"))
-    rows = rows.select("source", F.size("t").alias("n"), F.size(F.filter("t", lambda x: x.isin(*FRENCH.familiar))).alias("f"), F.size(F.filter("t", lambda x: x.isin(*FRENCH.formal))).alias("v"))
-    return rows.groupBy("source").agg(
-        F.count_if(F.col("f") > F.col("v")).alias("familiar"),
-        F.count_if(F.col("f") < F.col("v")).alias("formal"),
-        F.count_if((F.col("f") == F.col("v")) & (F.col("f") > 0)).alias("mixed"),
-        F.count_if((F.col("f") == 0) & (F.col("v") == 0)).alias("no_marker"),
-        rate(F.sum("f"), F.sum("n"), 1000).alias("familiar_per_1000"),
-    )
+    rows = rows.select("source", F.size("t").alias("n"), measure.times(F.col("t"), FRENCH.familiar).alias("fam"), measure.times(F.col("t"), FRENCH.formal).alias("form"))
+    return rows.groupBy("source").agg(*measure.person_summary())
 
 
 # -- openings and closings --------------------------------------------------------------------------
@@ -214,24 +188,33 @@ _D_GREETS = rf"(len({d_words('x')}) BETWEEN 1 AND 8 AND ({d_words('x')}[1] IN ({
 _D_FIRST = f"list_filter({_D_LOOK}, lambda x: {_D_GREETS} OR len({d_words('x')}) > 8)[1]"
 _D_SALUTATION = f"CASE WHEN len({d_words('first')}) <= 8 THEN first END"
 _D_SIGNOFF = f"CASE WHEN len(blocks) >= 2 AND len({d_words('blocks[-1]')}) <= 10 THEN blocks[-1] END"
+_D_GROUPS = "(VALUES ('overall'), ('register'), ('surface')) k(kind)"
+_D_KEY = "CASE kind WHEN 'overall' THEN '' WHEN 'register' THEN lang ELSE source END"
 _D_PARTS = f"(SELECT *, {_D_SALUTATION} AS salutation, {_D_SIGNOFF} AS signoff FROM (SELECT *, {_D_FIRST} AS first, {d_paragraphs('text')} AS blocks FROM {view(st.LETTER)}))"
 
 
 def _letters(spark, sf_dir):
     t = F.col("text")
     rows = docs(spark, sf_dir, st.LETTER)
-    return rows.withColumns({"salutation": measure.salutation_of(t, None, ENGLISH), "signoff": measure.signoff_of(t, None, ENGLISH)})
+    return rows.withColumns({"register": F.col("lang"), "surface": F.col("source"), "salutation": measure.salutation_of(t, None, ENGLISH), "signoff": measure.signoff_of(t, None, ENGLISH)})
+
+
+def d_forms(column: str) -> str:
+    return rf"""SELECT kind, {_D_KEY} AS key, regexp_replace({column}, '\s*\n\s*', ' ', 'g') AS form, count(*) AS n FROM {_D_PARTS}, {_D_GROUPS} WHERE {column} IS NOT NULL GROUP BY ALL"""
 
 
-@query("q09_salutation_forms", f"SELECT salutation AS form, count(*) AS n FROM {_D_PARTS} WHERE salutation IS NOT NULL GROUP BY 1")
+def _forms(spark, sf_dir, column):
+    return measure.forms(_letters(spark, sf_dir), column, ENGLISH, k=None, masked=False).select("kind", "key", "form", F.col("count").alias("n"))
+
+
+@query("q09_salutation_forms", d_forms("salutation"))
 def q09(spark, sf_dir):
-    return _letters(spark, sf_dir).where("salutation is not null").groupBy(F.col("salutation").alias("form")).agg(F.count("*").alias("n"))
+    return _forms(spark, sf_dir, "salutation")
 
 
-@query("q10_signoff_forms", rf"SELECT regexp_replace(signoff, '\s*\n\s*', ' ', 'g') AS form, count(*) AS n FROM {_D_PARTS} WHERE signoff IS NOT NULL GROUP BY 1")
+@query("q10_signoff_forms", d_forms("signoff"))
 def q10(spark, sf_dir):
-    form = F.regexp_replace("signoff", r"\s*\n\s*", " ")
-    return _letters(spark, sf_dir).where("signoff is not null").groupBy(form.alias("form")).agg(F.count("*").alias("n"))
+    return _forms(spark, sf_dir, "signoff")
 
 
 def d_bounded(rx: str) -> str:
@@ -243,10 +226,10 @@ _D_TAIL = f"array_to_string(list_reverse(list_slice(list_reverse({d_words('text'
 
 @query(
     "q11_signoff_families",
-    "SELECT family, count(*) AS n FROM (SELECT unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(tail, '{d_bounded(rx)}') THEN '{_q(name)}' END" for name, rx in ENGLISH.families) + f"], lambda x: x IS NOT NULL)) AS family FROM (SELECT {_D_TAIL} AS tail FROM {view(st.LETTER)})) GROUP BY family",
+    f"SELECT kind, {_D_KEY} AS key, family, count(*) AS n FROM (SELECT lang, source, unnest(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(tail, '{d_bounded(rx)}') THEN '{_q(name)}' END" for name, rx in ENGLISH.families) + f"], lambda x: x IS NOT NULL)) AS family FROM (SELECT lang, source, {_D_TAIL} AS tail FROM {view(st.LETTER)})), {_D_GROUPS} GROUP BY ALL",
 )
 def q11(spark, sf_dir):
-    return docs(spark, sf_dir, st.LETTER).select(F.explode(measure.families(F.col("text"), ENGLISH)).alias("family")).groupBy("family").agg(F.count("*").alias("n"))
+    return measure.family_counts(_letters(spark, sf_dir), ENGLISH).select("kind", "key", "family", F.col("count").alias("n"))
 
 
 _D_BODY = rf"""(SELECT *, CASE WHEN signoff IS NOT NULL AND ends_with(rtext, signoff) THEN left(rtext, length(rtext) - length(signoff)) ELSE text END AS cut FROM (SELECT *, regexp_replace(text, '[\s\x{{A0}}\x{{FEFF}}]+$', '') AS rtext FROM {_D_PARTS}))"""
@@ -263,26 +246,26 @@ def q12(spark, sf_dir):
 
 @query(
     "q13_list_messages",
-    rf"SELECT source, count_if(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*(?:[-*•]|[0-9]+[.)])\s+\S'))) >= 2)::BIGINT AS lists, count(*) AS n FROM {view(st.MARKS)} GROUP BY source",
+    rf"SELECT source, count_if(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*(?:[-*•]|[0-9]+[.)])\s+\S'))) >= 2)::BIGINT AS list_messages, floor(count_if(len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^\s*(?:[-*•]|[0-9]+[.)])\s+\S'))) >= 2)::DOUBLE / count(*) * 100.0 * 10.0 + 0.5) / 10.0 AS list_pct FROM {view(st.MARKS)} GROUP BY source",
 )
 def q13(spark, sf_dir):
-    lists = F.size(F.filter(F.split("text", "\n", -1), lambda x: F.regexp_like(x, F.lit(measure.LIST_LINE)))) >= 2
-    return docs(spark, sf_dir, st.MARKS).groupBy("source").agg(F.count_if(lists).alias("lists"), F.count("*").alias("n"))
+    return docs(spark, sf_dir, st.MARKS).select("source", measure.is_list(F.col("text")).alias("lst")).groupBy("source").agg(*measure.list_summary())
 
 
-@query("q14_emoji_counts", f"SELECT emoji, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{measure.EMOJI}')) AS emoji FROM {view(st.MARKS)}) GROUP BY emoji")
+@query("q14_emoji_counts", f"SELECT kind, {_D_KEY} AS key, emoji, count(*) AS n FROM (SELECT lang, source, unnest(regexp_extract_all(text, '{measure.EMOJI}')) AS emoji FROM {view(st.MARKS)}), {_D_GROUPS} GROUP BY ALL")
 def q14(spark, sf_dir):
-    return docs(spark, sf_dir, st.MARKS).select(F.explode(F.regexp_extract_all("text", F.lit(measure.EMOJI), F.lit(0))).alias("emoji")).groupBy("emoji").agg(F.count("*").alias("n"))
+    found = docs(spark, sf_dir, st.MARKS).select(F.col("lang").alias("register"), F.col("source").alias("surface"), F.col("text").alias("body"))
+    return measure.emojis(found, None).select("kind", "key", "emoji", F.col("count").alias("n"))
 
 
 def _d_tic(t) -> str:
     if t.kind == "character":
-        return f"sum({d_count('text', t.arg)})"
+        return d_count("text", t.arg)
     if t.kind == "quotation":
-        return f"sum({d_count('text', '«')} + {d_count('text', chr(34))} // 2)"
+        return f"{d_count('text', '«')} + {d_count('text', chr(34))} // 2"
     if t.kind == "shout":
-        return r"sum(len(regexp_extract_all(text, '\b\p{Lu}{3,}\b')))"
-    return f"sum(len(regexp_extract_all(text, '{_q(t.arg.replace('(?iu)', '(?i)').replace('@', chr(92) + 'b'))}')))"
+        return r"len(regexp_extract_all(text, '\b\p{Lu}{3,}\b'))"
+    return f"len(regexp_extract_all(text, '{_q(t.arg.replace('(?iu)', '(?i)').replace('@', chr(92) + 'b'))}'))"
 
 
 _PLAIN_TICS = [t for t in ENGLISH.tics if t.kind in ("character", "quotation", "pattern", "shout")]
@@ -292,15 +275,15 @@ _D_HEADS = {"starts": "tok[1] IN ('i')", "interjection": f"tok[1] IN ({d_in(ENGL
 
 @query(
     "q15_tics",
-    "\nUNION ALL ".join(f"SELECT '{_q(t.name)}' AS tic, {_d_tic(t)}::BIGINT AS n FROM {view(st.MARKS)}" for t in _PLAIN_TICS)
+    f"SELECT kind, {_D_KEY} AS key, tic, sum(n)::BIGINT AS n, count(*) AS messages FROM ("
+    + "\nUNION ALL ".join(f"SELECT lang, source, '{_q(t.name)}' AS tic, {_d_tic(t)} AS n FROM {view(st.MARKS)}" for t in _PLAIN_TICS)
     + "\nUNION ALL "
-    + "\nUNION ALL ".join(f"SELECT '{_q(t.name)}' AS tic, count_if({_D_HEADS[t.kind]})::BIGINT AS n FROM (SELECT {d_words('sentence')} AS tok FROM ({d_sentences(view(st.MARKS), 'text', 'doc_id')}))" for t in _HEAD_TICS),
+    + "\nUNION ALL ".join(f"SELECT lang, source, '{_q(t.name)}', count_if({_D_HEADS[t.kind]}) FROM (SELECT doc_id, lang, source, {d_words('sentence')} AS tok FROM ({d_sentences(view(st.MARKS), 'text', 'doc_id, lang, source')})) GROUP BY doc_id, lang, source" for t in _HEAD_TICS)
+    + f"), {_D_GROUPS} WHERE n > 0 GROUP BY ALL",
 )
 def q15(spark, sf_dir):
-    t, s = F.col("text"), sentences(F.col("text"), ENGLISH)
-    rows = docs(spark, sf_dir, st.MARKS).withColumn("s", s)
-    made = F.array(*[F.struct(F.lit(x.name).alias("tic"), measure.tic_count(x, t, F.col("s"), ENGLISH).alias("n")) for x in ENGLISH.tics])
-    return rows.select(F.explode(made).alias("t")).groupBy("t.tic").agg(F.sum("t.n").alias("n"))
+    rows = docs(spark, sf_dir, st.MARKS).select(F.col("lang").alias("register"), F.col("source").alias("surface"), F.col("text").alias("body"), sentences(F.col("text"), ENGLISH).alias("sentences"))
+    return measure.tics(rows, ENGLISH, None).select("kind", "key", "tic", F.col("count").alias("n"), "messages")
 
 
 def _d_grams(size: int, ref: dict, least: int) -> str:
@@ -318,8 +301,8 @@ SELECT * FROM r WHERE reference = 0 OR per_10k >= 2 * reference"""
 def _grams(spark, sf_dir, size, ref):
     rows = docs(spark, sf_dir).select(F.col("lang").alias("register"), F.col("source").alias("surface"), F.array(words(F.col("text"), ENGLISH)).alias("runs"))
     totals = rows.agg(F.sum(F.size(F.col("runs")[0])).alias("words_total")).select(F.lit("overall").alias("kind"), F.lit("").alias("key"), "words_total")
-    found = measure.ngrams(rows, totals, size, ref, k=1 << 30)
-    return found.where("kind = 'overall'").select("ngram", F.col("count").cast("long").alias("n"), "per_10k", F.col("reference_per_10k").alias("reference"))
+    found = measure.ngrams(rows, totals, size, ref, k=None, kinds=("overall",))
+    return found.select("ngram", F.col("count").cast("long").alias("n"), "per_10k", F.col("reference_per_10k").alias("reference"))
 
 
 @query("q16_bigrams", _d_grams(2, ENGLISH.bigrams, 4))
@@ -350,9 +333,7 @@ def q18(spark, sf_dir):
     f"SELECT word, count(*) AS n FROM (SELECT DISTINCT doc_id, lower(raw) AS word FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{EN}')) AS raw FROM documents) WHERE raw[1] = lower(raw[1])) GROUP BY word",
 )
 def q19(spark, sf_dir):
-    raw = docs(spark, sf_dir).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(ENGLISH.word), F.lit(0))).alias("raw"))
-    head = F.left("raw", F.lit(1))
-    return raw.where(head == F.lower(head)).select("doc_id", F.lower("raw").alias("word")).distinct().groupBy("word").agg(F.count("*").alias("n"))
+    return docs(spark, sf_dir).select(F.explode(measure.lower_words(F.col("text"), ENGLISH)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -515,7 +496,16 @@ def q30(spark, sf_dir):
     return cleaning.recurring_tail_lines(docs(spark, sf_dir, _FOOTER), "text")
 
 
-@query("q31_tail_cut")
+_D_LINES = f"list_transform(string_split(text, chr(10)), lambda x: {d_trim('x')})"
+_D_CUT = rf"""WITH r AS (SELECT list(line) AS lines FROM (SELECT line FROM (SELECT unnest({_D_TAILS}) AS line FROM {view(_FOOTER)}) GROUP BY line HAVING count(*) >= 10 AND NOT regexp_matches(line, '{_d_rx(cleaning.SIGNOFF).replace(chr(92) + "A", "^")}'))),
+t AS (SELECT doc_id, text, string_split(text, chr(10)) AS l, list_reverse({_D_LINES}) AS back FROM {view(_FOOTER)}),
+u AS (SELECT *, coalesce(list_position(list_transform(back, lambda x: x <> '' AND NOT list_contains(lines, x)), true) - 1, len(back)) AS run FROM t, r),
+c AS (SELECT *, len(list_filter(back[1:run], lambda x: x <> '')) >= 3 AS long FROM u)
+SELECT doc_id, md5(CASE WHEN long THEN {d_trim("array_to_string(l[1:len(l) - run], chr(10))")} ELSE text END) AS body, '' AS signoff,
+  CASE WHEN long THEN {d_trim("array_to_string(l[len(l) - run + 1:], chr(10))")} ELSE '' END AS signature FROM c"""
+
+
+@query("q31_tail_cut", _D_CUT)
 def q31(spark, sf_dir):
     rows = docs(spark, sf_dir, _FOOTER).select("doc_id", F.col("text").alias("body"))
     cut = cleaning.cut_recurring_tails(rows, cleaning.recurring_tail_lines(rows), ["doc_id"])
@@ -574,23 +564,63 @@ def q37(spark, sf_dir):
     return dedupe.first_of_key(docs(spark, sf_dir), F.sha2(F.col("text").cast("binary"), 256), "doc_id").select("doc_id", "filed_twice")
 
 
+_D_MESSAGE = "CASE WHEN doc_id % 11 = 0 THEN NULL ELSE 'm' || (doc_id * 7919 % 300) END"
+
+
+@query("q61_mail_dedupe", f"SELECT doc_id, key IS NOT NULL AND row_number() OVER (PARTITION BY key ORDER BY source, seq, doc_id) > 1 AS filed_twice FROM (SELECT doc_id, source, doc_id % 50 AS seq, {_D_MESSAGE} AS key FROM documents)")
+def q61(spark, sf_dir):
+    """Copies of a message in several files, whose places in their files are often equal."""
+    rows = docs(spark, sf_dir).select("doc_id", "source", (F.col("doc_id") % 50).alias("seq"), F.expr(_D_MESSAGE).alias("key"))
+    return dedupe.first_of_key(rows, F.col("key"), ["source", "seq", "doc_id"]).select("doc_id", "filed_twice")
+
+
 _D_PAIRS = rf"""
-WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS t FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(lower(text), '\p{{L}}+') AS t FROM documents),
 s AS (SELECT DISTINCT doc_id, t[i] || ' ' || t[i + 1] || ' ' || t[i + 2] || ' ' || t[i + 3] AS run FROM (SELECT doc_id, t, unnest(range(1, len(t) - 2)) AS i FROM w)),
-n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
-p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.run = y.run AND x.doc_id < y.doc_id GROUP BY 1, 2)
-SELECT a, b, shared, least(na.n, nb.n) AS smaller FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE shared::DOUBLE / least(na.n, nb.n) >= 0.8"""
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(run, '|' ORDER BY run)) AS name FROM s GROUP BY doc_id),
+f AS (SELECT *, min(doc_id) OVER (PARTITION BY name) AS first FROM n),
+u AS (SELECT s.* FROM s JOIN f USING (doc_id) WHERE f.first = f.doc_id),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM u x JOIN u y ON x.run = y.run AND x.doc_id < y.doc_id GROUP BY 1, 2),
+q AS (SELECT a, b, shared, least(na.n, nb.n) AS smaller FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE shared::DOUBLE / least(na.n, nb.n) >= 0.8)"""
 
 
-@query("q38_near_dup_pairs", _D_PAIRS)
+@query("q38_near_dup_pairs", f"{_D_PAIRS} SELECT * FROM q")
 def q38(spark, sf_dir):
-    return dedupe.similar_letters(docs(spark, sf_dir), "text", "doc_id")
+    """Pairs of the first letters of each set of runs; q62 has the sets."""
+    return dedupe.similar_letters(dedupe.letter_classes(docs(spark, sf_dir), "text", "doc_id")[1])
 
 
-@query("q39_near_dup_kept")
+@query("q62_near_dup_members", f"{_D_PAIRS} SELECT doc_id AS id, coalesce(first, doc_id) AS first FROM documents LEFT JOIN f USING (doc_id)")
+def q62(spark, sf_dir):
+    return dedupe.letter_classes(docs(spark, sf_dir), "text", "doc_id")[0]
+
+
+# Letters in order: one goes if any pair of it that came before did not.
+_D_KEPT = f"""{_D_PAIRS}, o AS (SELECT b, list(a) AS before, row_number() OVER (ORDER BY b) AS k FROM q GROUP BY b),
+g AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL SELECT o.k, CASE WHEN len(list_filter(before, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, b) ELSE gone END FROM g JOIN o ON o.k = g.k + 1),
+z AS (SELECT arg_max(gone, k) AS gone FROM g)
+SELECT doc_id, coalesce(first, doc_id) = doc_id AND NOT list_contains(gone, doc_id) AS kept FROM documents LEFT JOIN f USING (doc_id), z"""
+
+
+@query("q39_near_dup_kept", _D_KEPT)
 def q39(spark, sf_dir):
-    rows = docs(spark, sf_dir)
-    return dedupe.greedy_kept(rows.select("doc_id"), dedupe.similar_letters(rows, "text", "doc_id"), "doc_id")
+    return dedupe.kept_letters(docs(spark, sf_dir), "text", "doc_id")
+
+
+@query(
+    "q64_collect_letters",
+    rf"""SELECT reason, count(*) AS n FROM (SELECT CASE WHEN doc_id % 3 <> 0 THEN 'not_from_the_user' WHEN regexp_matches(text, '{_d_rx(cleaning.MACHINE)}') THEN 'written_by_a_machine'
+  WHEN len(regexp_extract_all(text, '{cleaning.BLANK_FIELD}')) >= 2 THEN 'a_blank_template' WHEN doc_id % 5 = 0 AND doc_id % 10 < 5 THEN 'outside_the_window' WHEN o >= 5 AND o > 2 * e THEN 'in_another_language' ELSE 'kept' END AS reason
+  FROM (SELECT *, {_d_function("en")} AS e, {_d_function("fr")} AS o FROM {view(st.MACHINE)})) GROUP BY reason UNION ALL SELECT 'read', count(*) FROM documents""",
+)
+def q64(spark, sf_dir):
+    """A folder of letters, without the search for near copies (q39) that SQL would repeat."""
+    rows = docs(spark, sf_dir, st.MACHINE)
+    signed = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\nMarc Lee"))).otherwise(F.col("text"))
+    month = F.when(F.col("doc_id") % 10 < 5, "2023-12").otherwise("2024-02")
+    name = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("a/"), month, F.lit(" devis.txt"))).otherwise("a/devis.txt")
+    letters = rows.select(F.concat("doc_id", F.lit("/"), name).alias("path"), F.lit(".txt").alias("extension"), signed.cast("binary").alias("content"))
+    return pipelines.collect_letters(letters, ["marc lee", "camille"], "x", "en", "2024-01-15", dedupe=False)[1]
 
 
 # -- pages and classes -----------------------------------------------------------------------------------------------
@@ -719,12 +749,29 @@ def q49(spark, sf_dir):
 
 @query(
     "q50_corpus_block",
-    "SELECT coalesce(nullif(source, ''), 'unknown') AS mailbox, count(*) AS samples, count(DISTINCT lang) AS langs, min(nullif(date, '')) AS first_date, max(nullif(date, '')) AS last_date FROM (SELECT source, lang, CASE doc_id % 3 WHEN 0 THEN '' ELSE '2026-0' || (doc_id % 9 + 1) END AS date FROM documents) GROUP BY 1",
+    "SELECT coalesce(nullif(source, ''), 'unknown') AS mailbox, count(*) AS samples, count(DISTINCT lang) AS langs, count(DISTINCT doc_id % 7) AS domains, min(nullif(date, '')) AS first_date, max(nullif(date, '')) AS last_date FROM (SELECT doc_id, source, lang, CASE doc_id % 3 WHEN 0 THEN '' ELSE '2026-0' || (doc_id % 9 + 1) END AS date FROM documents) GROUP BY 1",
 )
 def q50(spark, sf_dir):
     date = F.expr("CASE doc_id % 3 WHEN 0 THEN '' ELSE '2026-0' || (doc_id % 9 + 1) END")
-    rows = docs(spark, sf_dir).withColumn("date", F.nullif(date, F.lit("")))
-    return rows.groupBy(F.coalesce(F.nullif("source", F.lit("")), F.lit("unknown")).alias("mailbox")).agg(F.count("*").alias("samples"), F.countDistinct("lang").alias("langs"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
+    return measure.corpus(docs(spark, sf_dir).withColumns({"date": date, "mailbox": F.col("source"), "recipient_domain": F.concat(F.lit("d"), F.col("doc_id") % 7)}))
+
+
+_D_SOURCES = "SELECT lang AS document, source, lang AS tag, 'mbox' AS adapter FROM (SELECT DISTINCT lang, 'in-' || lang AS source FROM documents UNION ALL SELECT 'none', 'in-none')"
+
+
+@query(
+    "q63_corpus_sources",
+    f"""SELECT d.document, d.source, coalesce(CASE WHEN min(m) = max(m) THEN min(m) END, any_value(d.tag)) AS mailbox, coalesce(CASE WHEN min(a) = max(a) THEN min(a) END, any_value(d.adapter)) AS adapter,
+coalesce(coalesce(CASE WHEN min(a) = max(a) THEN min(a) END, any_value(d.adapter)) = 'folder', false) AS reviewed, count(s.document) AS samples
+FROM ({_D_SOURCES}) d LEFT JOIN (SELECT lang AS document, nullif(CASE WHEN lang = 'fr' THEN source ELSE '' END, '') AS m, CASE WHEN lang = 'de' THEN 'folder' END AS a FROM documents) s ON s.document = d.document GROUP BY d.document, d.source""",
+)
+def q63(spark, sf_dir):
+    """Sources of a corpus, one of them without a sample."""
+    rows = docs(spark, sf_dir)
+    samples = rows.select(F.col("lang").alias("document"), F.when(F.col("lang") == "fr", F.col("source")).otherwise("").alias("mailbox"), F.when(F.col("lang") == "de", "folder").alias("adapter"))
+    none = spark.createDataFrame([("none",)], "lang string")
+    documents = rows.select("lang").distinct().union(none).select(F.col("lang").alias("document"), F.concat(F.lit("in-"), "lang").alias("source"), F.col("lang").alias("tag"), F.lit("mbox").alias("adapter"))
+    return measure.sources(samples, documents)
 
 
 @query(
@@ -732,8 +779,7 @@ def q50(spark, sf_dir):
     f"SELECT address, count(*) AS n FROM (SELECT CASE doc_id % 4 WHEN 0 THEN 'sam.s@example.org' WHEN 1 THEN 'no-reply@shop.example.com' WHEN 2 THEN 'ann@tribunal.example.fr' END AS address FROM documents) WHERE address IS NOT NULL AND NOT starts_with(address, 'no-reply') GROUP BY 1 HAVING count(*) >= 3 ORDER BY n DESC, address LIMIT 40",
 )
 def q51(spark, sf_dir):
-    rows = docs(spark, sf_dir).select(parsing.address_of(F.expr(st.ADDRESS)).alias("address")).where("address is not null")
-    return rows.where(~cleaning.robot(F.col("address"))).groupBy("address").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.desc("n"), "address").limit(40)
+    return cleaning.senders(docs(spark, sf_dir).select(parsing.address_of(F.expr(st.ADDRESS)).alias("address")))
 
 
 @query("q52_mime_decode", "SELECT doc_id, md5(trim(text, chr(10) || chr(13) || ' ')) AS decoded, false AS refused FROM documents")
@@ -759,9 +805,8 @@ def q53(spark, sf_dir):
     f"SELECT coalesce(source, 'all') AS file, coalesce(label, 'all') AS label, count(*) AS n FROM (SELECT source, 'U+' || lpad(printf('%X', unicode(c)), greatest(4, length(printf('%X', unicode(c))))::INTEGER, '0') AS label FROM (SELECT source, unnest(regexp_extract_all(regexp_replace(text, '^﻿', ''), '{_D_NAMED}')) AS c FROM {view(st.GLYPHS)})) GROUP BY ROLLUP (source, label)",
 )
 def q54(spark, sf_dir):
-    rows = docs(spark, sf_dir, st.GLYPHS).select("source", F.explode(typography.points_of(F.col("text"))).alias("c"))
-    counted = rows.groupBy("source", typography.labelled(typography.code_point(F.col("c"))).alias("label")).agg(F.count("*").alias("k"))
-    return counted.rollup("source", "label").agg(F.sum("k").alias("n")).select(F.coalesce("source", F.lit("all")).alias("file"), F.coalesce("label", F.lit("all")).alias("label"), "n")
+    report = reports.typo_report(docs(spark, sf_dir, st.GLYPHS).select(F.col("source").alias("path"), "text"))
+    return reports.typo_totals(report).where("path is not null or label is null").select(F.coalesce("path", F.lit("all")).alias("file"), F.coalesce("label", F.lit("all")).alias("label"), "n")
 
 
 _LETTERS_ONLY = r"[^\p{L}\p{N} ]"

@@ -143,23 +143,53 @@ def read_emlx(spark: SparkSession, root: str) -> DataFrame:
     return kept.select(F.col("path").alias("source"), "mailbox", number.alias("seq"), raw.alias("raw"))
 
 
+def _hidden(path: Column) -> Column:
+    """Whether a file or a folder above it is hidden."""
+    return F.regexp_like(path, F.lit(r"/\.[^/]"))
+
+
 def read_letters(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (".md", ".tex", ".txt")) -> DataFrame:
-    """(path, extension, content, text) of the letters of a folder, hidden files out."""
+    """(path, extension, content) of the letters of a folder, hidden files and folders out.
+    Paths are relative to the folder and pruned before any content is read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    extension = F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)\z", 1))
-    named = files.where(~F.regexp_like(F.regexp_extract("path", r"([^/]*)\z", 1), F.lit(r"\A\."))).withColumn("extension", extension)
-    return named.where(F.col("extension").isin(*extensions)).select("path", "extension", "content", F.try_validate_utf8(F.col("content")).alias("text"))
-
-
-def read_samples(spark: SparkSession, path: str) -> DataFrame:
-    """Samples of collected documents (JSON): one row each, blank texts out; a sample takes
-    mailbox and adapter from its document where it has none."""
-    sample = "struct<id string, mailbox string, adapter string, source string, date string, recipient_domain string, surface string, register string, words int, text string, salutation string, signoff string, signature string>"
-    schema = f"tool string, lang string, adapter string, tag string, source string, collected string, samples array<{sample}>"
-    found = spark.read.option("multiLine", "true").schema(schema).json(path)
-    rows = found.select(F.col("lang"), F.col("tag"), F.col("adapter").alias("a"), F.posexplode("samples").alias("sample_seq", "s"))
-    flat = rows.select("lang", "sample_seq", "a", "tag", "s.*")
-    return flat.withColumns({"mailbox": F.coalesce("mailbox", "tag"), "adapter": F.coalesce("adapter", "a")}).drop("a", "tag").where(F.length(F.trim("text")) > 0)
+    root = F.lit(re.sub(r"^file:/*", "file:/", folder).rstrip("/") + "/")
+    inside = F.when(F.startswith("path", root), F.substring("path", F.length(root) + 1, F.length("path"))).otherwise(F.col("path"))
+    named = files.withColumn("inside", inside).where(~_hidden(F.concat(F.lit("/"), "inside"))).withColumn("extension", F.lower(F.regexp_extract("path", r"(\.[A-Za-z0-9]+)\z", 1)))
+    return named.where(F.col("extension").isin(*extensions)).select(F.col("inside").alias("path"), "extension", "content")
+
+
+_SAMPLE = "id string, mailbox string, adapter string, source string, date string, recipient_domain string, surface string, register string, words int, text string, salutation string, signoff string, signature string"
+_DOCUMENT = "tool string, lang string, adapter string, tag string, source string, collected string"
+
+
+def _read_json(spark: SparkSession, path) -> DataFrame:
+    """One row per document; a bare array of samples gives a row for each of them. ``document``
+    numbers the rows in the order in which they are read."""
+    mine = ", ".join(f for f in _SAMPLE.split(", ") if f.split()[0] not in ("adapter", "source"))
+    found = spark.read.option("multiLine", "true").schema(f"{_DOCUMENT}, samples array<struct<{_SAMPLE}>>, {mine}").json(path)
+    return found.withColumn("document", F.monotonically_increasing_id())
+
+
+def read_documents(spark: SparkSession, path) -> DataFrame:
+    """(document, source, lang, adapter, tag) of collected documents, empty ones too; bare
+    samples are one document without a name (-1)."""
+    found = _read_json(spark, path)
+    named = found.where("samples is not null").select("document", "source", "lang", "adapter", "tag")
+    none = F.lit(None).cast("string")
+    bare = found.where("samples is null and length(trim(text)) > 0").limit(1).select(F.lit(-1).cast("long").alias("document"), none.alias("source"), none.alias("lang"), none.alias("adapter"), none.alias("tag"))
+    return named.unionByName(bare)
+
+
+def read_samples(spark: SparkSession, path) -> DataFrame:
+    """Samples of collected documents (JSON) and of bare arrays of samples: one row each, blank
+    texts out; a sample takes mailbox and adapter from its document where it has none.
+    ``sample_seq`` orders the samples of all documents."""
+    found = _read_json(spark, path)
+    inner = found.where("samples is not null").select("document", "lang", F.col("tag"), F.col("adapter").alias("a"), F.posexplode("samples").alias("k", "s"))
+    listed = inner.select("document", F.col("k").cast("long").alias("k"), "lang", "tag", "a", "s.*")
+    alone = found.where("samples is null").select(F.lit(-1).cast("long").alias("document"), F.col("document").alias("k"), "lang", "tag", F.col("adapter").alias("a"), *[f.split()[0] for f in _SAMPLE.split(", ")])
+    flat = listed.unionByName(alone).where(F.length(F.trim("text")) > 0)
+    return flat.withColumns({"mailbox": F.coalesce("mailbox", "tag"), "adapter": F.coalesce("adapter", "a"), "sample_seq": F.concat_ws(":", F.lpad((F.col("document") + 1).cast("string"), 19, "0"), F.lpad(F.col("k").cast("string"), 19, "0"))}).drop("a", "tag", "k")
 
 
 SKIPPED_FOLDERS = (".cache", ".git", ".next", ".pnpm-store", ".turbo", ".venv", ".yarn", "__pycache__", "build", "coverage", "dist", "node_modules", "vendor")
