@@ -21,49 +21,65 @@ def _arrow(schema: T.StructType):
     return to_arrow_schema(schema)
 
 
+#: Bytes of a message file that are read to judge its sender and date.
+HEAD = 8192
+
+
 def heads(messages: DataFrame) -> DataFrame:
-    """(source, seq, raw) with the decoded headers that decide what is read further."""
-    schema = T.StructType([*messages.select("source", "seq", "raw").schema.fields, *T._parse_datatype_string("_from string, _to string, _cc string, _date string, _id string, _blank boolean").fields])
+    """``messages`` (source, seq, raw, ...) with the decoded headers that decide what is read
+    further."""
+    schema = T.StructType([*messages.schema.fields, *T._parse_datatype_string("_from string, _to string, _cc string, _date string, _id string").fields])
     arrow = _arrow(schema)
 
     def run(batches):
         for batch in batches:
-            rows = [decoding.headers_and_body(bytes(r or b"")) for r in batch.column("raw").to_pylist()]
-            words = [[decoding.encoded_words(h.get(n)) for h, _ in rows] for n in ("from", "to", "cc")]
-            plain = [[h.get(n) for h, _ in rows] for n in ("date", "message-id")]
-            columns = [*(batch.column(n) for n in ("source", "seq", "raw")), *words, *plain, [not b.strip() for _, b in rows]]
+            rows = [decoding.headers_and_body(bytes(r or b""))[0] for r in batch.column("raw").to_pylist()]
+            words = [[decoding.encoded_words(h.get(n)) for h in rows] for n in ("from", "to", "cc")]
+            plain = [[h.get(n) for h in rows] for n in ("date", "message-id")]
+            columns = [*batch.columns, *words, *plain]
             yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, arrow.types)], schema=arrow)
 
-    return messages.select("source", "seq", "raw").mapInArrow(run, schema)
+    return messages.mapInArrow(run, schema)
 
 
-def bodies(judged: DataFrame) -> DataFrame:
-    """``judged`` without raw, with the text of the messages that nothing dropped so far."""
+def bodies(judged: DataFrame, load=None) -> DataFrame:
+    """``judged`` without raw, with the text of the messages that nothing dropped so far, read
+    by ``load(source)`` where raw is only the head of a message."""
     base = judged.drop("raw")
-    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string("_text string, _refused boolean").fields])
+    schema = T.StructType([*base.schema.fields, *T._parse_datatype_string("_text string, _refused boolean, _blank boolean").fields])
     arrow = _arrow(schema)
 
     def run(batches):
         for batch in batches:
-            texts, refused = [], []
-            for raw, early in zip(batch.column("raw").to_pylist(), batch.column("_early").to_pylist()):
+            texts, refused, blank = [], [], []
+            for raw, early, source in zip(*(batch.column(c).to_pylist() for c in ("raw", "_early", "source"))):
                 report = decoding.Report()
-                texts.append(decoding.readable(bytes(raw), report)[1] if early is None and raw is not None else None)
+                text, empty = None, False
+                if early is None and raw is not None:
+                    whole = bytes(raw) if load is None else load(source)
+                    text, empty = decoding.readable(whole, report)[1], not decoding.headers_and_body(whole)[1].strip()
+                texts.append(text)
                 refused.append(report.refused > 0)
-            more = {"_text": pa.array(texts, pa.string()), "_refused": pa.array(refused, pa.bool_())}
+                blank.append(empty)
+            more = {"_text": pa.array(texts, pa.string()), "_refused": pa.array(refused, pa.bool_()), "_blank": pa.array(blank, pa.bool_())}
             yield pa.RecordBatch.from_arrays([more[n] if n in more else batch.column(n) for n in arrow.names], schema=arrow)
 
     return judged.mapInArrow(run, schema)
 
 
-def collect_mail(messages: DataFrame, me: list[str], tag: str, lang: str = "", since: str | None = None, unlike: tuple[str, ...] = (), dedupe: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(samples, funnel) of messages (source, seq, raw).
+def collect_mail(
+    messages: DataFrame, me: list[str], tag: str, lang: str = "", since: str | None = None, unlike: tuple[str, ...] = (), dedupe: bool = False, adapter: str = "mbox", load=None, surface: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(samples, funnel) of messages (source, seq, raw; where there is a mailbox, samples name
+    it as their source).
 
-    Sender and window are judged from the head alone, so bodies of other rows are never
-    decoded; each row is charged to the first reason that drops it.
+    Sender, window and repeats are judged from the head alone, so bodies of other rows are
+    never decoded, and with ``load`` never read; each row is charged to the first reason that
+    drops it.
     """
     mine = F.array(*[F.lit(m.lower()) for m in me])
-    parsed = heads(messages).withColumns({"_from": parsing.address_of(F.col("_from")), "date": parsing.date_of(F.col("_date"))})
+    box = F.col("mailbox") if "mailbox" in messages.columns else F.col("source")
+    parsed = heads(messages.select("source", "seq", "raw", box.alias("_box"))).withColumns({"_from": parsing.address_of(F.col("_from")), "date": parsing.date_of(F.col("_date"))})
     early = cleaning.first_reason(
         ("not_from_the_user", ~F.coalesce(F.array_contains(mine, F.col("_from")), F.lit(False))),
         ("outside_the_window", ~cleaning.since(F.col("date"), since) if since else F.lit(False)),
@@ -72,13 +88,14 @@ def collect_mail(messages: DataFrame, me: list[str], tag: str, lang: str = "", s
     if dedupe:
         from ..operators.dedupe import first_of_key
 
+        judged = written(judged, "heads")
         kept = judged.where("_early is null")
         again = first_of_key(kept, F.nullif(F.trim("_id"), F.lit("")), ["source", "seq"])
         judged = judged.where("_early is not null").unionByName(again.withColumn("_early", F.when(F.col("filed_twice"), F.lit("filed_twice"))).drop("filed_twice"))
-    blank = F.when(F.col("_early").isNull() & F.col("_blank"), F.lit("no_body"))
-    read = bodies(judged.withColumn("_early", F.coalesce("_early", blank)))
+    read = bodies(judged, load)
     stripped = read.withColumn("_s", cleaning.split_signature(cleaning.strip_quoted(F.col("_text"))["text"]))
     late = cleaning.first_reason(
+        ("no_body", F.col("_blank")),
         ("unreadable", F.col("_refused") | parsing.undecoded(F.col("_text"))),
         ("written_by_a_machine", cleaning.written_by_a_machine(F.col("_text"), unlike)),
         ("nothing_of_their_own", word_count(F.col("_s.body")) == 0),
@@ -90,16 +107,45 @@ def collect_mail(messages: DataFrame, me: list[str], tag: str, lang: str = "", s
         F.coalesce("_early", late).alias("drop_reason"),
         "date",
         parsing.domain_of(parsing.first_other(F.concat(*addresses), mine)).alias("recipient_domain"),
-        F.lit("mbox").alias("adapter"),
+        F.lit(adapter).alias("adapter"),
         F.lit("").alias("extension"),
         F.col("_s.body").alias("body"),
         F.col("_s.signoff").alias("signoff"),
         F.col("_s.signature").alias("signature"),
+        F.col("_box").alias("box"),
     )
-    return finish(entries, tag, lang)
+    return finish(entries, tag, lang, surface)
+
+
+def load_emlx(source: str) -> bytes:
+    """The whole message of a message file."""
+    from ..sources.mail import message_bytes, open_file
+
+    with open_file(source) as f:
+        return message_bytes(f.read())
+
+
+def collect_emlx(files: DataFrame, me: list[str], tag: str, **options) -> tuple[DataFrame, DataFrame]:
+    """``collect_mail`` of message files (source, mailbox, seq), in two steps: ``HEAD`` bytes of
+    each tell whether the user wrote it, and only those files are read whole. A message filed
+    in several mailboxes counts once."""
+    schema = T.StructType([*files.select("source", "mailbox", "seq").schema.fields, T.StructField("raw", T.BinaryType())])
+    arrow = _arrow(schema)
+
+    def run(batches):
+        from ..sources.mail import message_bytes, open_file
+
+        for batch in batches:
+            raws = []
+            for source in batch.column("source").to_pylist():
+                with open_file(source) as f:
+                    raws.append(message_bytes(f.read(HEAD)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in ("source", "mailbox", "seq")), pa.array(raws, pa.binary())], schema=arrow)
+
+    return collect_mail(files.select("source", "mailbox", "seq").mapInArrow(run, schema), me, tag, dedupe=True, adapter="applemail", load=load_emlx, **options)
 
 
-def collect_letters(letters: DataFrame, author: list[str], tag: str, lang: str = "", since: str | None = None, unlike: tuple[str, ...] = (), dedupe: bool = True) -> tuple[DataFrame, DataFrame]:
+def collect_letters(letters: DataFrame, author: list[str], tag: str, lang: str = "", since: str | None = None, unlike: tuple[str, ...] = (), dedupe: bool = True, surface: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(samples, funnel) of letters (path, extension, content) of a folder.
 
     The reasons in the order in which they are looked for: not decoded, not signed by the
@@ -131,10 +177,10 @@ def collect_letters(letters: DataFrame, author: list[str], tag: str, lang: str =
         told = kept_letters(judged.where("drop_reason is null"), "body", "source")
         again = judged.join(told, "source", "left").withColumn("drop_reason", F.coalesce("drop_reason", F.when(~F.col("kept"), F.lit("filed_twice"))))
         judged = again.select(*judged.columns)
-    return finish(judged, tag, lang)
+    return finish(judged, tag, lang, surface)
 
 
-def finish(entries: DataFrame, tag: str, lang: str = "") -> tuple[DataFrame, DataFrame]:
+def finish(entries: DataFrame, tag: str, lang: str = "", surface: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(samples, funnel) of entries with a ``drop_reason`` so far: recurring tails off, other
     languages out, what stays masked, classified and numbered."""
     open_rows, shut = entries.where("drop_reason is null"), entries.where("drop_reason is not null")
@@ -149,6 +195,10 @@ def finish(entries: DataFrame, tag: str, lang: str = "") -> tuple[DataFrame, Dat
     whole = whole.withColumn("drop_reason", reason)
     masked = whole.where("drop_reason is null").withColumns({c: masking.mask(F.col(c)) for c in ("body", "signoff", "signature")})
     samples = classify.make_samples(masked.drop("drop_reason"), tag)
+    if surface:
+        samples = samples.withColumn("surface", F.lit(surface))
+    if "box" in samples.columns:
+        samples = samples.withColumn("source", F.col("box")).drop("box")
     return samples, cleaning.funnel(shut.select("drop_reason").union(whole.select("drop_reason")))
 
 

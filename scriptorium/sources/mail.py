@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -130,17 +131,46 @@ SKIPPED_MAILBOXES = (
 )
 
 
-def read_emlx(spark: SparkSession, root: str) -> DataFrame:
-    """(source, mailbox, seq, raw) of a tree of single-message files, skipped mailboxes out.
-
-    Paths are pruned before any content is read.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.emlx").load(root)
-    kept = files.where(~F.endswith("path", F.lit(".partial.emlx"))).withColumn("mailbox", mailbox_name(F.col("path")))
+def emlx_files(spark: SparkSession, root: str) -> DataFrame:
+    """(source, mailbox, seq) of a tree of single-message files, skipped mailboxes out. Names
+    only: no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.emlx").load(root).select("path")
+    kept = files.where(~F.endswith("path", F.lit(".partial.emlx"))).withColumn("mailbox", _composed(mailbox_name(F.col("path"))))
     kept = kept.where(~F.regexp_like("mailbox", F.lit(SKIPPED_MAILBOXES)))
-    raw = F.encode(emlx_message(F.col("content")), "ISO-8859-1")
     number = F.coalesce(F.try_to_number(F.regexp_extract("path", r"([0-9]{1,12})[^/0-9]*\z", 1), F.lit("999999999999")).cast("long"), F.lit(0))
-    return kept.select(F.col("path").alias("source"), "mailbox", number.alias("seq"), raw.alias("raw"))
+    return kept.select(F.col("path").alias("source"), "mailbox", number.alias("seq"))
+
+
+def _composed(name: Column) -> Column:
+    """Letters with their accents as one character; file systems may hand them over apart."""
+
+    @F.pandas_udf("string")
+    def run(names: pd.Series) -> pd.Series:
+        return names.str.normalize("NFC")
+
+    return run(name)
+
+
+def open_file(path: str):
+    from pyarrow import fs
+
+    system, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+    return system.open_input_file(inner)
+
+
+def message_bytes(data: bytes) -> bytes:
+    """The message in the bytes of a message file, or in the first of them: as many as its
+    first line says, else all that follow."""
+    first, _, rest = data.partition(b"\n")
+    return rest[: int(first)] if re.fullmatch(rb"\s*[0-9]{1,9}\s*", first) else rest
+
+
+def read_emlx(spark: SparkSession, root: str) -> DataFrame:
+    """(source, mailbox, seq, raw) of a tree of single-message files, read whole."""
+    names = emlx_files(spark, root)
+    content = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.emlx").load(root).select(F.col("path").alias("source"), "content")
+    raw = F.encode(emlx_message(F.col("content")), "ISO-8859-1")
+    return names.join(content, "source").select("source", "mailbox", "seq", raw.alias("raw"))
 
 
 def _hidden(path: Column) -> Column:
@@ -198,7 +228,7 @@ SKIPPED_FOLDERS = (".cache", ".git", ".next", ".pnpm-store", ".turbo", ".venv",
 def read_tree(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text) of the text files of a tree; a NUL byte makes a file binary."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    inside = F.exists(F.split("path", "/"), lambda p: p.isin(*SKIPPED_FOLDERS))
+    inside = F.exists(F.split("path", "/"), lambda p: p.isin(*SKIPPED_FOLDERS)) | F.contains("path", F.lit("/.claude/worktrees/"))
     return files.where(~inside & ~has_nul(F.col("content"))).select("path", F.decode("content", "UTF-8").alias("text"))
 
 
