@@ -210,6 +210,12 @@ def decode_charset(data: Column, label: Column) -> Column:
     return run(data, label)
 
 
+def decoding_report(decoded: Column) -> list[Column]:
+    """Over rows of ``decode_charset``: doubtful, refused, and the labels that were doubtful."""
+    labels = F.array_sort(F.collect_set(F.nullif(decoded["charsets"], F.lit(""))))
+    return [F.sum(decoded["doubtful"].cast("long")).alias("doubtful"), F.sum(decoded["refused"].cast("long")).alias("refused"), F.array_join(labels, ", ").alias("charsets")]
+
+
 def decode_words(value: Column) -> Column:
     """Encoded words of a header."""
 
