@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .profiles import Profile
-from .regex import B, S
+from .regex import B, S, let
 
 _IBAN = re.compile(r"\b[A-Za-z]{2}[0-9]{2}(?:\s?[A-Za-z0-9]{4}){2,7}(?:\s?[A-Za-z0-9]{1,3})?\b", re.A)
 _IBAN_SPACE = re.compile(r"\b[A-Za-z]{2}[0-9]{2}(?:[ ]?[A-Za-z0-9]{4}){2,7}(?:[ ]?[A-Za-z0-9]{1,3})?\b", re.A)
@@ -49,33 +49,49 @@ def mask_ibans(text: Column, mask: str = "[iban]", any_space: bool = False) -> C
 
 CASE = rf"(?iu){B}(case|contract|contrat|dossier|facture|file|invoice|référence|reference|ref){B}({S}*(?:n[°o]?{S}*)?[:.]?{S}*)([A-Za-z]{{0,4}}[-/.]?[0-9][A-Za-z0-9./-]{{2,}})"
 AMOUNT = rf"(?iu)[0-9][0-9 .,]*{S}?(?:[€£$]|(?:EUR|GBP|USD|euros?){B})"
+#: A boundary before a digit or letter.
+_START = r"(?<![A-Za-z0-9_])"
 STREET = (
-    rf"(?iu){B}[0-9]{{1,4}}(?:[ \t]?(?:[A-Za-z]|bis|ter){B})?(?:-[0-9]{{1,4}})?,?[ \t]+"
+    rf"(?iu){_START}[0-9]{{1,4}}(?:[ \t]?(?:[A-Za-z]|bis|ter){B})?(?:-[0-9]{{1,4}})?,?[ \t]+"
     r"(?:all[ée]e|avenue|av|boulevard|bd|chemin|drive|impasse|lane|parvis|parv|place|quai|road|rue|street)\.?"
     rf"(?:[ \t]+[^{S[1:-1]},]+){{1,4}}"
 )
-IDENTIFIER = rf"{B}(?=[A-Za-z0-9]*[A-Za-z])(?=(?:[A-Za-z]*[0-9]){{5}})[A-Za-z0-9]{{6,}}{B}"
+IDENTIFIER = rf"{_START}(?=[A-Za-z0-9]*[A-Za-z])(?=(?:[A-Za-z]*[0-9]){{5}})[A-Za-z0-9]{{6,}}{B}"
 PHONE = "|".join(
     [
         rf"\+[0-9]{{1,3}}(?:[{S[1:-1]}.-]?[0-9]){{6,14}}",
-        rf"{B}0[0-9](?:[{S[1:-1]}.-]?[0-9]{{2}}){{4}}{B}",
+        rf"{_START}0[0-9](?:[{S[1:-1]}.-]?[0-9]{{2}}){{4}}{B}",
         rf"\([0-9]{{3}}\)[{S[1:-1]}.-]?[0-9]{{3}}[{S[1:-1]}.-]?[0-9]{{4}}{B}",
-        rf"{B}[0-9]{{3}}[{S[1:-1]}.-][0-9]{{3}}[{S[1:-1]}.-][0-9]{{4}}{B}",
-        rf"{B}[0-9]{{2,3}}(?:[{S[1:-1]}.-][0-9]{{2,3}}){{3,5}}{B}",
+        rf"{_START}[0-9]{{3}}[{S[1:-1]}.-][0-9]{{3}}[{S[1:-1]}.-][0-9]{{4}}{B}",
+        rf"{_START}[0-9]{{2,3}}(?:[{S[1:-1]}.-][0-9]{{2,3}}){{3,5}}{B}",
     ]
 )
 
 
+def _where(text: Column, gate: str, step) -> Column:
+    """``step`` of a text that holds what every match of its rule holds, and that is cheap to
+    look for; others as they are. The text is computed once."""
+    return let(text, lambda t: F.when(F.regexp_like(t, F.lit(gate)), step(t)).otherwise(t))
+
+
+_CASE_WORDS = "(?iu)case|contra|dossier|facture|file|invoice|r[ée]f"
+
+
+def _cases(text: Column) -> Column:
+    """Case references, and the amounts of a text that has one."""
+    cased = F.regexp_replace(text, CASE, "$1$2[reference]")
+    return let(cased, lambda c: F.when(c != text, F.regexp_replace(c, AMOUNT, "[amount]")).otherwise(c))
+
+
 def mask(text: Column, ibans: bool = True) -> Column:
     """The masks of collection; amounts go only where a case reference was found."""
-    out = F.regexp_replace(text, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]")
+    out = _where(text, "@", lambda t: F.regexp_replace(t, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "[email]"))
     if ibans:
         out = mask_ibans(out)
-    cased = F.regexp_replace(out, CASE, "$1$2[reference]")
-    out = F.when(F.regexp_like(out, F.lit(CASE)), F.regexp_replace(cased, AMOUNT, "[amount]")).otherwise(out)
-    out = F.regexp_replace(out, STREET, "[address]")
-    out = F.regexp_replace(out, IDENTIFIER, "[reference]")
-    return F.regexp_replace(out, PHONE, "[phone]")
+    out = _where(out, _CASE_WORDS, _cases)
+    out = _where(out, "[0-9]", lambda t: F.regexp_replace(t, STREET, "[address]"))
+    out = _where(out, "[0-9](?:[A-Za-z]*[0-9]){4}", lambda t: F.regexp_replace(t, IDENTIFIER, "[reference]"))
+    return _where(out, "[0-9](?:[^A-Za-z0-9]{0,2}[0-9]){6}", lambda t: F.regexp_replace(t, PHONE, "[phone]"))
 
 
 def mask_personal_data(text: Column, profile: Profile, ibans: bool = True) -> Column:

@@ -423,7 +423,7 @@ def q24(spark, sf_dir):
 def _d_rx(pattern: str) -> str:
     from ..functions.regex import SPACE, B, S
 
-    return _q(pattern.replace(B, r"\b").replace("(?iu)", "(?i)").replace(f"[^{SPACE},]", r"[^\s,]").replace(f"[^{SPACE}]", r"\S").replace(S, r"\s").replace(SPACE, r"\s"))
+    return _q(pattern.replace(B, r"\b").replace(masking._START, r"\b").replace("(?iu)", "(?i)").replace(f"[^{SPACE},]", r"[^\s,]").replace(f"[^{SPACE}]", r"\S").replace(S, r"\s").replace(SPACE, r"\s"))
 
 
 _D_CASED = f"regexp_matches(m1, '{_d_rx(masking.CASE)}')"
