@@ -7,7 +7,7 @@ import sys
 
 from pyspark.sql import SparkSession
 
-from .plans import commands
+from .plans import commands, reports
 
 
 def parser() -> argparse.ArgumentParser:
@@ -30,7 +30,8 @@ def parser() -> argparse.ArgumentParser:
     three.add_argument("targets", nargs="+")
     three.add_argument("--fix", action="store_true")
     three.add_argument("--lang")
-    three.add_argument("--voice")
+    three.add_argument("--profile", help="the profile to go by")
+    three.add_argument("--profile-name", default=reports.PROFILE_NAME, help="the name of the files that are looked for above the target")
     return top
 
 

@@ -166,17 +166,17 @@ def typo(spark: SparkSession, options, say, complain) -> int:
     for target in targets[1:]:
         files = files.unionByName(mail.read_tree(spark, uri(target)))
     profile = {"lang": options.lang, "typography": {}}
-    if options.voice:
+    if options.profile:
         try:
-            with open(options.voice, encoding="utf-8") as f:
+            with open(options.profile, encoding="utf-8") as f:
                 profile = reports.parse_profile(f.read())
         except OSError:
-            complain(f"{options.voice}: cannot be read")
+            complain(f"{options.profile}: cannot be read")
             return 2
     elif not options.lang:
-        found = reports.nearest_profile(os.path.abspath(targets[0]))
+        found = reports.nearest_profile(os.path.abspath(targets[0]), options.profile_name)
         if found is None:
-            complain(f"no profile above {targets[0]}; name one with --voice, or a language with --lang")
+            complain(f"no profile above {targets[0]}; name one with --profile, or a language with --lang")
             return 2
         profile = found
     lang = options.lang or profile["lang"]

@@ -64,7 +64,7 @@ def test_typo_checks_and_fixes(spark, tmp_path):
     assert code == 1 and "  U+2026 1" in lines
     assert said(spark, "typo", str(tree), "--lang", "en", "--fix")[0] == 0 and (tree / "a.txt").read_text() == "a...b c"
     assert said(spark, "typo", str(tree), "--lang", "en")[0] == 0
-    (tree / "VOICE.md").write_text("---\nlang: fr\n---\n")
+    (tree / "PROFILE.md").write_text("---\nlang: fr\n---\n")
     assert said(spark, "typo", str(tree))[0] == 0
 
 
