@@ -14,14 +14,20 @@ every pair at the threshold has the chance of the plain similarity to become a c
 Texts that are equal up to white space share words and so are one text here; only distinct
 texts go further. ``BANDS`` bands of ``ROWS`` registers give buckets; in each bucket every
 text is linked to the smallest one, the pairs are verified by the exact similarity of
-their shingles, and components are formed. A bucket whose texts are still in different
-components is then finished exactly: each text outside the bucket's largest component is
-verified against all of the bucket that are not in its own. So no pair of a bucket that
-could change a component is left out, and groups of copies cost one pair per copy.
+their shingles, and components are formed. Texts of buckets that are still in different
+components are then joined exactly by prefixes: each orders its shingles from the rarest
+of these texts to the commonest, and two texts at the threshold share one of the first
+fifth, at places that leave enough shingles after them. Texts that share a passage but not
+enough of it differ in rare shingles, which come first, so they do not meet at all. Each
+such shingle first links its texts to the one that holds it earliest; after components
+are formed again, every pair of different components that its places allow is verified.
+So no pair of a bucket that could change a component is left out, while groups of copies,
+and texts with a passage in common, cost about one pair per text.
 
 Scale: texts are scanned once for signatures. Verification moves the texts that have a
-candidate, once for each distinct candidate pair. Buckets and links are aggregated with
-partial sums; keys that are hot are split by adaptive skew joins.
+candidate, once for each distinct candidate pair; the joins by prefix move hashes. Buckets,
+links and shingles are aggregated with partial sums; keys that are hot are split by
+adaptive skew joins.
 
 Defined cases: texts without a word are one class; null text is empty; a null doc_id takes
 part and orders last; rows that repeat an id or a text are in one class; ties go to the
@@ -35,7 +41,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,6 +245,67 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, schema)
 
 
+def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` with the root of each id's component, itself if it has no link."""
+    return rows.join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+
+
+def _postings(texts: DataFrame) -> DataFrame:
+    """(shingle, id, size, at) of the shingles that a text shares with a similar one first.
+
+    A text's ``size`` distinct shingles stand from the rarest of these texts to the commonest
+    (ties by hash). Of two similar texts the first one in common comes so early in both that
+    enough follow, within a fifth of them at the most. What only one text has is counted, but
+    not given.
+    """
+    schema = T._parse_datatype_string("id binary, size long, shingle long")
+    arrow = common.arrow_schema(schema)
+
+    def run(batches):
+        for whole in batches:
+            for batch in common.pieces(whole, "text", PIECE):
+                found, of, _ = weighted(*shingles(*common.text_bytes(batch.column("text"))))
+                sizes = np.bincount(of, minlength=batch.num_rows)[of]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(of)), pa.array(sizes), pa.array(found.view(np.int64))], schema=arrow)
+        common.relax()
+
+    rows = common.written(texts.select("id", "text").mapInArrow(run, schema), "neardup-shingles")
+    counts = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("id")
+    shared = rows.join(counts, "shingle").withColumn("place", F.row_number().over(own.orderBy("n", "shingle")) - 1)
+    shared = shared.withColumn("at", F.col("size") - F.count("*").over(own) + F.col("place"))
+    return shared.where(_enough(F.col("size") - F.col("at"), F.col("size"))).select("shingle", "id", "size", "at")
+
+
+def _enough(both: Column, either: Column) -> Column:
+    """Whether so many shingles in common, of so many in either, reach ``SIMILARITY``; as in ``similarity``."""
+    return both / either >= SIMILARITY
+
+
+def _possible() -> Column:
+    """Whether places a.at and b.at of the first shingle in common leave enough after them."""
+    both = F.least(F.col("a.size") - F.col("a.at"), F.col("b.size") - F.col("b.at"))
+    return (F.col("a.root") != F.col("b.root")) & _enough(both, F.col("a.size") + F.col("b.size") - both)
+
+
+def _pairs(joined: DataFrame) -> DataFrame:
+    return joined.where(_possible()).select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
+
+
+def _earliest(postings: DataFrame) -> DataFrame:
+    """Pairs of each text and the one that has a shingle earliest, of another component."""
+    least = postings.groupBy("shingle").agg(F.min(F.struct("at", "size", "id", "root")).alias("b")).select("shingle", "b.*")
+    return _pairs(postings.alias("a").join(least.alias("b"), "shingle"))
+
+
+def _allowed(postings: DataFrame) -> DataFrame:
+    """All pairs of different components that can be similar by the places of a shingle."""
+    sizes = postings.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("shingle").agg(F.max(F.struct("n", F.col("root").alias("r")))["r"].alias("largest"), F.count("*").alias("parts")).where("parts > 1")
+    rows = common.written(postings.join(split, "shingle"), "neardup-split")
+    return _pairs(rows.where("root <> largest").alias("a").join(rows.alias("b"), "shingle"))
+
+
 def _text_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, id) of every row, and (node, root): components of linked texts."""
     sketch = common.written(_sketch(df), "neardup-sketch")
@@ -253,16 +320,15 @@ def _text_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = common.written(texts, "neardup-chosen")
     links = common.written(_verified(pairs, texts), "neardup-links")
     found = components(links)
-    labelled = members.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root"))
-    labelled = common.written(labelled, "neardup-labels")
-    sizes = labelled.groupBy("key", "root").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("n", F.col("root").alias("r")))["r"].alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    unsettled = common.written(labelled.join(split, "key"), "neardup-open")
-    others = unsettled.where("root <> largest").select("key", F.col("id").alias("b"), F.col("root").alias("rb"))
-    against = unsettled.select("key", F.col("id").alias("a"), F.col("root").alias("ra"))
-    rest = others.join(against, "key").where("ra <> rb").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    labelled = common.written(_rooted(members.select("key", "id"), found), "neardup-labels")
+    split = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
+    unsettled = common.written(labelled.join(split, "key", "left_semi").select("id").distinct(), "neardup-open")
+    postings = common.written(_postings(texts.join(unsettled, "id")), "neardup-postings")
+    first = common.written(_verified(_earliest(_rooted(postings, found)), texts), "neardup-links")
+    links = links.union(first)
+    rest = _allowed(_rooted(postings, components(links)))
     more = common.written(_verified(rest, texts), "neardup-links")
-    common.forget(texts, members, labelled, unsettled)
+    common.forget(texts, members, labelled, unsettled, postings)
     return sketch.select("doc_id", "id"), components(links.union(more))
 
 

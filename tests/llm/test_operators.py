@@ -400,6 +400,20 @@ def test_entropy_cells_are_brute_force():
             assert cells[starts[d] + i] == (6 * 64 * 65536 - total) * 1024 // (6 * 64 * 65536)
 
 
+def brute_classes(texts) -> dict:
+    """Smallest id of each class of texts (id: text) linked by similarity, all pairs looked at."""
+    sets, root = {}, {k: k for k in texts}
+    for k, t in texts.items():
+        w = t.split()
+        sets[k] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((root[a], root[b]))
+                root = {k: x if v == y else v for k, v in root.items()}
+    return root
+
+
 def test_near_duplicates_are_brute_force(spark, docs, empty):
     r = random.Random(11)
     rows = [(k, t) for k, t in enumerate(TEXTS)]
@@ -432,6 +446,22 @@ def test_near_duplicates_are_brute_force(spark, docs, empty):
     assert neardup.classes(empty).collect() == [] and neardup.dedup(empty).collect() == []
 
 
+def test_texts_with_a_passage_in_common_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Half of a text and more is one passage, the rest is its own: few are similar, and almost all share a bucket."""
+    r, passage = random.Random(12), prose(100, 700)
+    rows = [(k, " ".join([prose(n := r.randint(0, 70), 800 + k), passage, prose(70 - n if k % 40 else 3, 1400 + k)])) for k in range(500)]
+    asked, verified = [], neardup._verified
+
+    def counted(pairs, texts):
+        asked.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["class_id"] for r in found} == brute_classes(dict(rows))
+    assert len({r["class_id"] for r in found}) < len(rows) and sum(asked) < 6 * len(rows)
+
+
 HARD = "ab c\n\t\r\x0b\x1c\x85\xa0　​'sé日123½ⅷ_-!😀́ΣİßAB"
 
 
