@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from scriptorium.llm import common, language, mixing, replay
+from scriptorium.llm import common, language, mixing, neardup, replay
 from pyspark.sql import functions as F
 
 
@@ -75,6 +75,21 @@ def test_language_stage_keeps_columns_of_its_results(spark):
     assert language.fit(docs)[0]
 
 
+def test_near_stage_does_not_compare_a_passage_pair_by_pair(spark, monkeypatch):
+    """Texts of which a passage is the greater part, but not enough to be similar."""
+    passage = " ".join(f"p{i}" for i in range(100))
+    docs = spark.createDataFrame([(k, passage + "".join(f" w{k}x{i}" for i in range(35)), "en") for k in range(300)], "doc_id long, text string, lang string")
+    asked, verified = [], neardup._verified
+
+    def counted(pairs, texts):
+        asked.append(pairs.count())
+        return verified(pairs, texts)
+
+    monkeypatch.setattr(neardup, "_verified", counted)
+    assert corpus_pipeline.near_stage(spark, docs, "").count() == 300
+    assert sum(asked) < 30 * 300  # a pair for each text and band at the most; all pairs are 44,850
+
+
 def test_empty_table(spark):
     docs = common.documents(spark, "/root/testdata/sf0.001").limit(0)
     for name, stage in corpus_pipeline.STAGES:
