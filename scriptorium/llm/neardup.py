@@ -21,6 +21,8 @@ fifth, at places that leave enough shingles after them. Texts that share a passa
 enough of it differ in rare shingles, which come first, so they do not meet at all. Each
 such shingle first links its texts to the one that holds it earliest; after components
 are formed again, every pair of different components that its places allow is verified.
+Before texts are compared, their first fifths are: up to where the shorter of these ends in
+the order, what both texts hold is known, and only the rest can be in common beyond that.
 So no pair of a bucket that could change a component is left out, while groups of copies,
 and texts with a passage in common, cost about one pair per text.
 
@@ -251,10 +253,10 @@ def _rooted(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def _postings(texts: DataFrame) -> DataFrame:
-    """(shingle, id, size, at) of the shingles that a text shares with a similar one first.
+    """(shingle, id, size, at, n) of the shingles that a text shares with a similar one first.
 
     A text's ``size`` distinct shingles stand from the rarest of these texts to the commonest
-    (ties by hash). Of two similar texts the first one in common comes so early in both that
+    (``n`` texts hold it; ties by hash). Of two similar texts the first one in common comes so early in both that
     enough follow, within a fifth of them at the most. What only one text has is counted, but
     not given.
     """
@@ -274,7 +276,7 @@ def _postings(texts: DataFrame) -> DataFrame:
     own = Window.partitionBy("id")
     shared = rows.join(counts, "shingle").withColumn("place", F.row_number().over(own.orderBy("n", "shingle")) - 1)
     shared = shared.withColumn("at", F.col("size") - F.count("*").over(own) + F.col("place"))
-    return shared.where(_enough(F.col("size") - F.col("at"), F.col("size"))).select("shingle", "id", "size", "at")
+    return shared.where(_enough(F.col("size") - F.col("at"), F.col("size"))).select("shingle", "id", "size", "at", "n")
 
 
 def _enough(both: Column, either: Column) -> Column:
@@ -292,6 +294,25 @@ def _pairs(joined: DataFrame) -> DataFrame:
     return joined.where(_possible()).select(F.greatest("a.id", "b.id").alias("a"), F.least("a.id", "b.id").alias("b")).distinct()
 
 
+def _first_fifths(postings: DataFrame) -> DataFrame:
+    """(id, size, rare, end): each text's shingles of ``postings``, and the last of them in the order with its place."""
+    end = F.max(F.struct("n", "shingle", "at")).alias("end")
+    return postings.groupBy("id").agg(F.first("size").alias("size"), F.collect_list("shingle").alias("rare"), end)
+
+
+def _promising(pairs: DataFrame, fifths: DataFrame) -> DataFrame:
+    """The pairs (a, b) that can be similar by all of their first fifths.
+
+    Of the text whose fifth ends first in the order, what stands up to there is in the other
+    text only if it is in its fifth too; all that stands after may be.
+    """
+    sides = [fifths.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("size", "rare", "end")]) for x in "ab"]
+    both = pairs.join(sides[0], "a").join(sides[1], "b")
+    after = F.when(F.col("end_a") < F.col("end_b"), F.col("size_a") - F.col("end_a.at")).otherwise(F.col("size_b") - F.col("end_b.at")) - 1
+    most = F.least(F.size(F.array_intersect("rare_a", "rare_b")) + after, F.col("size_a"), F.col("size_b"))
+    return both.where(_enough(most, F.col("size_a") + F.col("size_b") - most)).select("a", "b")
+
+
 def _earliest(postings: DataFrame) -> DataFrame:
     """Pairs of each text and the one that has a shingle earliest, of another component."""
     least = postings.groupBy("shingle").agg(F.min(F.struct("at", "size", "id", "root")).alias("b")).select("shingle", "b.*")
@@ -324,11 +345,12 @@ def _text_classes(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     split = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high")
     unsettled = common.written(labelled.join(split, "key", "left_semi").select("id").distinct(), "neardup-open")
     postings = common.written(_postings(texts.join(unsettled, "id")), "neardup-postings")
-    first = common.written(_verified(_earliest(_rooted(postings, found)), texts), "neardup-links")
-    links = links.union(first)
-    rest = _allowed(_rooted(postings, components(links)))
+    fifths = common.written(_first_fifths(postings), "neardup-fifths")
+    first = _promising(_earliest(_rooted(postings, found)), fifths)
+    links = links.union(common.written(_verified(first, texts), "neardup-links"))
+    rest = _promising(_allowed(_rooted(postings, components(links))), fifths)
     more = common.written(_verified(rest, texts), "neardup-links")
-    common.forget(texts, members, labelled, unsettled, postings)
+    common.forget(texts, members, labelled, unsettled, postings, fifths)
     return sketch.select("doc_id", "id"), components(links.union(more))
 
 

@@ -462,6 +462,21 @@ def test_texts_with_a_passage_in_common_are_not_compared_pair_by_pair(spark, mon
     assert len({r["class_id"] for r in found}) < len(rows) and sum(asked) < 6 * len(rows)
 
 
+def test_first_fifths_spare_pairs_and_lose_none(spark):
+    """Texts of the same blocks, each without some: all pairs are possible by a place, some are similar."""
+    r, blocks = random.Random(13), [prose(12, 700 + k) for k in range(40)]
+    texts = [" ".join(b for b in blocks if r.random() < share) for share in [0.7, 0.8, 0.97] for _ in range(20)]
+    df = spark.createDataFrame([(bytes([k]), t) for k, t in enumerate(texts)], "id binary, text string")
+    postings = neardup._postings(df)
+    pairs = neardup._allowed(postings.withColumn("root", F.col("id")))
+    possible = {(a[0], b[0]) for a, b in pairs.collect()}
+    kept = {(a[0], b[0]) for a, b in neardup._promising(pairs, neardup._first_fifths(postings)).collect()}
+    sets = [set(zip(*[t.split()[i:] for i in range(5)])) for t in texts]
+    near = {(a, b) for a in range(60) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert near <= kept <= possible and near
+    assert len(kept) - len(near) < (len(possible) - len(near)) / 2, (len(near), len(kept), len(possible))
+
+
 HARD = "ab c\n\t\r\x0b\x1c\x85\xa0　​'sé日123½ⅷ_-!😀́ΣİßAB"
 
 
