@@ -9,7 +9,7 @@ their pre-tokens.
 The corpus of a replay is a batch of one task and not the whole table: pre-tokens are
 encoded independently of one another, so the ids are the same, and neither the texts nor
 the pre-tokens (about as many bytes as the texts) are shuffled. A task keeps the ids of
-pre-tokens it has met for its later batches; above ``KEPT`` only those of the last batch,
+pre-tokens it has met for its later batches; above ``KEPT`` (``ROWS_KEPT``) only those of the last batch,
 which are the frequent ones, stay.
 
 A vocabulary may rank a merge below the ranks of the tokens it joins. Where replaying such
@@ -40,6 +40,9 @@ from . import common
 KEPT = 250_000
 #: Bytes of text that are encoded together.
 PIECE = 4 << 20
+#: The same for ``encode_rows``, which runs after other stages, beside what these left in memory.
+ROWS_KEPT = 100_000
+ROWS_PIECE = 1 << 20
 #: Merges of a rank that are applied one by one; of more, all at once.
 FEW = 24
 
@@ -315,8 +318,8 @@ class Vocabulary:
             parts.append(part)
         return parts + list(map(self.pattern.findall, units[alone:]))
 
-    def encode_decimal(self, texts: list[str]) -> list[str]:
-        """The ids of each text in decimal, joined by one space."""
+    def encode_decimal(self, texts: list[str], most: int = KEPT) -> list[str]:
+        """The ids of each text in decimal, joined by one space; above ``most``, only the batch's own are kept."""
         kept, decimal = self.kept, self.words
         split = [self._units(t) for t in texts]
         met = set().union(*split)
@@ -327,10 +330,10 @@ class Vocabulary:
                 decimal.update(zip(words, self.replay_decimal([w.encode() for w in words])))
             for u, p in zip(fresh, parts):
                 kept[u] = decimal[p[0]] if len(p) == 1 else " ".join([decimal[w] for w in p])
-            if len(decimal) > KEPT:
+            if len(decimal) > most:
                 self.words = {w: decimal[w] for w in used}
         result = [" ".join(map(kept.__getitem__, units)) for units in split]
-        if len(kept) > KEPT:
+        if len(kept) > most:
             self.kept = {u: kept[u] for u in met}
         return result
 
@@ -428,9 +431,9 @@ def encode_rows(df: DataFrame, path: str | None = None, pattern: str | None = No
     def run(batches):
         vocab = vocabulary(path, pattern)
         for whole in batches:
-            for batch in common.pieces(whole, "text", PIECE):
+            for batch in common.pieces(whole, "text", ROWS_PIECE):
                 texts = [t or "" for t in batch.column("text").to_pylist()]
-                ids = vocab.encode_decimal(texts)
+                ids = vocab.encode_decimal(texts, ROWS_KEPT)
                 columns = {
                     "n_tokens": pa.array([s.count(" ") + 1 if s else 0 for s in ids], pa.int64()),
                     "ids": pa.array(ids, pa.string()),

@@ -6,6 +6,7 @@ import html
 import random
 import re
 import time
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -13,7 +14,7 @@ import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from scriptorium.llm import counting, digest, exact, language, layouts, mincut, mixing, neardup, replay, suffix, warc
+from scriptorium.llm import common, counting, digest, exact, language, layouts, mincut, mixing, neardup, replay, suffix, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, kept string, score string, `_sc` string"
 rnd = random.Random(7)
@@ -546,3 +547,18 @@ def test_archives_round_trip(spark, tmp_path):
     assert limited.where("record_type = 'revisit'").count() == 0
     none = warc.write_archives(df.limit(0), f"file://{tmp_path}/n")
     assert warc.read_archives(none).collect() == []
+
+
+def test_rows_are_encoded_in_less_memory():
+    """As in a task of encode_rows and one of encode_digests, on the same texts of many words."""
+    r = random.Random(14)
+    texts = [" ".join("".join(r.choices("abcdefghij", k=r.randint(3, 7))) for _ in range(400)) for _ in range(1500)]
+    batch, results, peaks = pa.RecordBatch.from_pydict({"text": texts}), [], []
+    for piece, kept in ((replay.PIECE, replay.KEPT), (replay.ROWS_PIECE, replay.ROWS_KEPT)):
+        vocab = replay.vocabulary(*replay.defaults())
+        tracemalloc.start()
+        results.append([s for b in common.pieces(batch, "text", piece) for s in vocab.encode_decimal(b.column("text").to_pylist(), kept)])
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        vocab.rest()
+    assert results[0] == results[1] and peaks[1] < 0.7 * peaks[0], peaks
