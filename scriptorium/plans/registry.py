@@ -586,7 +586,7 @@ q AS (SELECT a, b, shared, least(na.n, nb.n) AS smaller FROM p JOIN n na ON na.d
 @query("q38_near_dup_pairs", f"{_D_PAIRS} SELECT * FROM q")
 def q38(spark, sf_dir):
     """Pairs of the first letters of each set of runs; q62 has the sets."""
-    return dedupe.similar_letters(dedupe.letter_classes(docs(spark, sf_dir), "text", "doc_id")[1])
+    return dedupe.similar_letters(*dedupe.letter_classes(docs(spark, sf_dir), "text", "doc_id"))
 
 
 @query("q62_near_dup_members", f"{_D_PAIRS} SELECT doc_id AS id, coalesce(first, doc_id) AS first FROM documents LEFT JOIN f USING (doc_id)")

@@ -81,3 +81,26 @@ def test_rare_ngrams_go_before_they_are_spread(spark):
     rows = {(r["kind"], r["key"], r["ngram"]): r["count"] for r in found.collect()}
     assert rows == {("overall", "", "of it"): 4, ("surface", "x", "of it"): 4}
     assert "Window" in plan(found)
+
+
+def test_pairs_are_verified_by_arrays_in_blocks(spark, monkeypatch):
+    """All pairs, over several blocks; runs do not meet pair by pair."""
+    import random
+
+    from scriptorium.operators import dedupe
+
+    monkeypatch.setattr(dedupe, "BLOCK", 3)
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefghij") * rng.randint(1, 3) for _ in range(rng.randint(5, 30))] for _ in range(12)]
+    texts = ["", None, "one two three", *[" ".join(b) for b in base], " ".join(base[0])]
+    for b in base:
+        texts += [" ".join([*b[: rng.randint(3, len(b))], *rng.choices("xyz", k=rng.randint(0, 3))]) for _ in range(9)]
+    rows = list(enumerate(texts))
+    sets = {k: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for k, t in rows for w in [(t or "").split()]}
+    first = {k: min(j for j in sets if sets[j] == s) if s else k for k, s in sets.items()}
+    own = [k for k in sets if first[k] == k and sets[k]]
+    want = {(a, b, len(sets[a] & sets[b]), min(len(sets[a]), len(sets[b]))) for a in own for b in own if a < b and len(sets[a] & sets[b]) / min(len(sets[a]), len(sets[b])) >= 0.8}
+    members, runs = dedupe.letter_classes(spark.createDataFrame(rows, "id long, text string"), "text", "id")
+    pairs = dedupe.similar_letters(members, runs)
+    assert {tuple(r) for r in pairs.collect()} == want and len(want) > 20
+    assert "array_intersect" in plan(pairs) and "run#" not in plan(pairs)
