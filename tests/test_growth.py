@@ -104,3 +104,17 @@ def test_pairs_are_verified_by_arrays_in_blocks(spark, monkeypatch):
     pairs = dedupe.similar_letters(members, runs)
     assert {tuple(r) for r in pairs.collect()} == want and len(want) > 20
     assert "array_intersect" in plan(pairs) and "run#" not in plan(pairs)
+
+
+def test_texts_leave_the_decoder_in_pieces(spark):
+    import pyarrow as pa
+
+    from scriptorium.functions import decoding
+
+    raws = [None if k % 7 == 0 else b"" if k % 7 == 1 else b"\xe9\xc3\xa9%d" % k for k in range(600)]
+    parts = list(decoding._decoded(pa.array(raws, pa.binary()), lambda r, report, i: (str(i), decoding.charset_text(r, "latin1", report))))
+    assert [len(p) for p in parts] == [256, 256, 88]
+    rows = spark.createDataFrame(list(enumerate(raws)), "k int, raw binary").repartition(3)
+    found = {r["k"]: r["text"] for r in rows.select("k", decoding.decode_charset(F.col("raw"), F.lit("latin1"))["text"].alias("text")).collect()}
+    assert found == {k: None if r is None else decoding.charset_text(r, "latin1") for k, r in enumerate(raws)}
+    assert [x["text"] for p in parts for x in p.to_pylist()] == [found[k] for k in range(600)] and parts[1][0]["type"].as_py() in (None, "256")
